@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import contextlib
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str | None):
+    """``key`` has ``value`` meanwhile (None: as it is)."""
+    before = spark.conf.get(key, None)
+    if value is not None:
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if value is not None:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def process_cache() -> dict:
+    """What a Python worker keeps from task to task. It isn't a global of this package: those travel with every task."""
+    return sys.modules.setdefault("_extentlake_cache", types.ModuleType("_extentlake_cache")).__dict__
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,15 +56,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back; shuffle files of the write are removed once it is committed."""
+    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back; shuffle files of the write are removed once it is committed.
+
+        ``batch_rows``: rows per Arrow batch while it is written, for rows that hold large binaries.
+        """
         schema = df.schema
-        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, None)
-        conf.set(_CLEANUP, "true")
-        try:
+        with _setting(self.spark, _CLEANUP, "true"), _setting(self.spark, _BATCH, batch_rows and str(batch_rows)):
             df.write.parquet(self.path(name))
-        finally:
-            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -1,12 +1,15 @@
 """Queries of this subpackage and their DuckDB SQL, for ``__spark_entry__``."""
 
-from . import chat_format, sharding, url_filters, warc
+from . import chat_format, decontaminate, packing, sharding, topk, url_filters, warc
 
 _MODULES = {
     "op1_sharding": sharding,
     "op2_chat_format": chat_format,
+    "op4_exact_topk": topk,
     "op6_warc": warc,
+    "op7_packing": packing,
     "op9_url_filters": url_filters,
+    "op10_decontaminate": decontaminate,
 }
 
 QUERIES = {name: m.query for name, m in _MODULES.items()}
