@@ -26,7 +26,7 @@ ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITES = 2, 2, 6, 12, 2
 #: Bins filled less than this share are dissolved and packed across blocks.
 POOR = 0.97
 #: Distinct white-space separated pieces of text whose ids a worker remembers.
-CACHE = 200_000
+CACHE = 500_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 
@@ -57,9 +57,24 @@ class Tokens:
         got = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
         begin = np.cumsum([0, *(len(r) + 1 for r in runs[:-1])])
         size = np.bincount(np.searchsorted(begin, [a for a, _ in got.offsets], "right") - 1, minlength=len(runs))
+        self._add(runs, size, np.array(got.ids, np.uint32))
+
+    def _gather(self, runs) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the runs and all of their ids."""
+        at = np.fromiter(map(self.index.__getitem__, runs), np.int64, len(runs))
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return size, self.ids[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _join(self, marked: list[str]) -> None:
+        size, flat = self._gather([x for r in marked for x in (r[:-1], r[-1])])
+        size = size[::2] + size[1::2]
+        self._add(marked, size, flat)
+
+    def _add(self, runs: list[str], size: np.ndarray, ids: np.ndarray) -> None:
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.array(got.ids, np.uint32)])
+        self.ids = np.concatenate([self.ids, ids])
         self.index.update(zip(runs, range(len(self.index), len(self.index) + len(runs))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -67,12 +82,15 @@ class Tokens:
             self.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         runs = [x for s in split for x in s]
-        if new := list(set(runs).difference(self.index)):
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, runs), np.int64, len(runs))
-        size = self.size[at]
+        if new := set(runs).difference(self.index):
+            # A comma or full stop after a letter is always a token of its own: the word before it is looked up alone.
+            marked = [r for r in new if r[-1] in ",." and r[-2:-1].isalpha()]
+            plain = new.difference(marked).union(r[:-1] for r in marked).union(",.").difference(self.index)
+            if plain:
+                self._learn(list(plain))
+            self._join(marked)
+        size, flat = self._gather(runs)
         ends = np.cumsum(size)
-        flat = self.ids[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
