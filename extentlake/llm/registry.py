@@ -1,11 +1,13 @@
 """Queries of this subpackage and their DuckDB SQL, for ``__spark_entry__``."""
 
-from . import chat_format, decontaminate, packing, sharding, topk, url_filters, warc
+from . import chat_format, decontaminate, language_id, packing, sharding, substring_dedup, topk, url_filters, warc
 
 _MODULES = {
     "op1_sharding": sharding,
     "op2_chat_format": chat_format,
+    "op3_language_id": language_id,
     "op4_exact_topk": topk,
+    "op5_substring_dedup": substring_dedup,
     "op6_warc": warc,
     "op7_packing": packing,
     "op9_url_filters": url_filters,
