@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB SQL, for ``__spark_entry__``."""
 
-from . import chat_format, decontaminate, language_id, packing, sharding, substring_dedup, topk, url_filters, warc
+from . import chat_format, decontaminate, jaccard_join, language_id, packing, sharding, substring_dedup, topk, url_filters, warc
 
 _MODULES = {
     "op1_sharding": sharding,
@@ -10,6 +10,7 @@ _MODULES = {
     "op5_substring_dedup": substring_dedup,
     "op6_warc": warc,
     "op7_packing": packing,
+    "op8_jaccard_join": jaccard_join,
     "op9_url_filters": url_filters,
     "op10_decontaminate": decontaminate,
 }
