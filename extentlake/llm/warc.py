@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ def _page_uri(col):
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Write one WARC/1.1 record per row of (page_id, url, html) as text files of whole records.
+    """Write one WARC/1.1 record per row of (page_id, url, html) as gzip text files of whole records.
 
     Digests are counted first (a partial count before the shuffle), and only digests that repeat are joined to the pages;
     the join's large keys are split by adaptive execution. A record ends in CR LF CR LF, which is the files' line separator.
@@ -51,7 +52,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(CRLF), block,
     )
-    p.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    p.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple]:
@@ -85,7 +86,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = list(parse_records(content.as_py()))
+                rows = list(parse_records(gzip.decompress(content.as_py())))
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names)
 
