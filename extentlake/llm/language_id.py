@@ -217,15 +217,17 @@ def _predict(batches, model: ByteTagger | None):
         yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(k) for k in range(2, batch.num_columns)], pa.array(lang), pa.array(score)], [*batch.schema.names[:1], *batch.schema.names[2:], "lang_pred", "score"])
 
 
-def identify(documents: DataFrame, model: ByteTagger | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row.
+def identify(documents: DataFrame, model: ByteTagger | None, carry: list[str] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row; and the columns of ``carry``, unchanged.
 
     A null text, or one without any letter, is ``und`` with score 0, as is everything without a model (no labelled row).
     Ties between languages go to the first in alphabetical order; a null id counts as not held out; repeated rows give
     repeated results. Text, and nothing else, is read for the prediction; an empty table gives an empty result.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out().alias("held_out"))
-    return rows.mapInArrow(lambda b: _predict(b, model), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out().alias("held_out"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    types = "".join(f", _{k} {documents.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    out = rows.mapInArrow(lambda b: _predict(b, model), f"doc_id long, held_out boolean{types}, lang_pred string, score double")
+    return out.select("doc_id", "held_out", "lang_pred", "score", *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
