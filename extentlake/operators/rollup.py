@@ -77,6 +77,24 @@ def distinct_disks(extents: DataFrame) -> DataFrame:
 
 
 def quorum(disks: DataFrame) -> DataFrame:
-    """Integrity holds while at most one disk is missing."""
-    present, total = F.count_if(F.col("health") != "failed"), F.count("*")
-    return disks.agg(present.alias("present"), total.alias("total"), (present >= total - 1).alias("intact"))
+    """Integrity holds while at most one data disk is missing, and never without any data disk."""
+    data = F.col("role") == "data"
+    present, total = F.count_if(data & (F.col("health") != "failed")), F.count_if(data)
+    return disks.agg(present.alias("present"), total.alias("total"), ((total > 0) & (present >= total - 1)).alias("intact"))
+
+
+def status(disks: DataFrame, files: DataFrame, extents: DataFrame, journal: DataFrame) -> DataFrame:
+    """One row: counts of the catalog, journal records and open transactions."""
+    last = journal.groupBy("tx").agg(F.count("*").alias("records"), F.max_by("state", "seq").alias("last"))
+    j = last.agg(F.sum("records").alias("journal_records"), F.count_if(~F.col("last").isin("committed", "aborted")).alias("open_txs"))
+    out = j
+    for df, name in ((disks, "disks"), (files, "files"), (extents, "extents")):
+        out = out.join(df.agg(F.count("*").alias(name)), F.lit(True))
+    return out
+
+
+def recovery_counts(plan: DataFrame, journal: DataFrame) -> DataFrame:
+    """Attempted, recovered and aborted transactions of a recovery plan; journal records."""
+    a = F.col("action")
+    p = plan.agg(F.count_if(a.isin("abort", "roll-forward", "repair")).alias("attempted"), F.count_if(a.isin("roll-forward", "repair")).alias("recovered"), F.count_if(a == "abort").alias("aborted"))
+    return p.join(journal.agg(F.count("*").alias("records")), F.lit(True))

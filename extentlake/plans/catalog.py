@@ -102,7 +102,7 @@ def _(p):
     return rollup.group_width(p.disks())
 
 
-@query("agg23_quorum", "disks", "SELECT count(*) FILTER (health <> 'failed') AS present, count(*) AS total, count(*) FILTER (health <> 'failed') >= count(*) - 1 AS intact FROM disks")
+@query("agg23_quorum", "disks", "SELECT count(*) FILTER (health <> 'failed') AS present, count(*) AS total, count(*) > 0 AND count(*) FILTER (health <> 'failed') >= count(*) - 1 AS intact FROM disks WHERE role = 'data'")
 def _(p):
     return rollup.quorum(p.disks())
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from extentlake.plans import catalog
+from extentlake.plans import catalog, catalog_more  # noqa: F401
 
 from .oracle import same
 
