@@ -30,13 +30,41 @@ def xor_bytes(parts: list[bytes]) -> bytes:
     return out.tobytes()
 
 
+def xor_runs(keys: np.ndarray, blobs: pa.Array) -> list[tuple]:
+    """(key, sum) of every run of equal keys, all runs at once: rows are laid out in a zero-padded matrix."""
+    offsets = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4).astype(np.int64)
+    size = np.diff(offsets)
+    rows = np.zeros((len(blobs), int(size.max(initial=0))), np.uint8)
+    at = np.arange(offsets[0], offsets[-1])
+    rows[np.repeat(np.arange(len(size)), size), at - np.repeat(offsets[:-1], size)] = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sums, longest = np.bitwise_xor.reduceat(rows, first, axis=0), np.maximum.reduceat(size, first)
+    return [(k, s[:n].tobytes()) for k, s, n in zip(keys[first].tolist(), sums, longest)]
+
+
 def xor_blobs(blobs: DataFrame, key: str = "pg", content: str = "content") -> DataFrame:
-    """Bulk path: key, parity of the groups' blobs. A group holds at most its width of members, so it fits in a task."""
+    """Bulk path: key (an integer), parity of the groups' blobs, streamed in key order through each partition.
 
-    def one(t: pa.Table) -> pa.Table:
-        return pa.table({key: t.column(key)[:1], "parity": pa.array([xor_bytes(t.column(content).to_pylist())], pa.binary())})
+    A batch is one matrix; for blobs of a megabyte, lower ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    """
 
-    return blobs.select(key, content).groupBy(key).applyInArrow(one, f"{key} {blobs.schema[key].dataType.simpleString()}, parity binary")
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = xor_runs(batch.column(0).to_numpy(), batch.column(1).fill_null(b""))
+            if held and held[0] == got[0][0]:
+                got[0] = (held[0], xor_bytes([held[1], got[0][1]]))
+            elif held:
+                got.insert(0, held)
+            *done, held = got
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([p for _, p in done], pa.binary())], [key, "parity"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.binary())], [key, "parity"])
+
+    rows = blobs.select(F.col(key).cast("long").alias(key), F.col(content).alias("content")).where(F.col(key).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} long, parity binary")
 
 
 def reconstruct(lanes: DataFrame, parity: DataFrame, targets: DataFrame) -> DataFrame:
