@@ -12,19 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole documents per Arrow batch.
+BATCH_ROWS = 2000
 
 
 @contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str | None):
-    """``key`` has ``value`` meanwhile (None: as it is)."""
+def _setting(spark: SparkSession, key: str, value: str):
+    """``key`` has ``value`` meanwhile."""
     before = spark.conf.get(key, None)
-    if value is not None:
-        spark.conf.set(key, value)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        if value is not None:
-            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def process_cache() -> dict:
@@ -56,13 +56,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
         """Write ``df`` and read it back; shuffle files of the write are removed once it is committed.
 
-        ``batch_rows``: rows per Arrow batch while it is written, for rows that hold large binaries.
+        ``batch_rows``: rows per Arrow batch while it is written; fewer for rows that hold large binaries.
         """
         schema = df.schema
-        with _setting(self.spark, _CLEANUP, "true"), _setting(self.spark, _BATCH, batch_rows and str(batch_rows)):
+        with _setting(self.spark, _CLEANUP, "true"), _setting(self.spark, _BATCH, str(batch_rows)):
             df.write.parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 

@@ -16,7 +16,7 @@ from ._common import process_cache
 
 U = np.uint64
 #: Texts are worked on in slices of about this many bytes (one text at least), which bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n at least; kept for the process."""
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(16, int(n - 1).bit_length())
     kept = process_cache()
     if (base, size) not in kept:
         with np.errstate(over="ignore"):

@@ -4,7 +4,8 @@ Texts are sets of hashed word shingles. A size band cuts the universe of shingle
 Jaccard similarity 3/4 or more differ in at most (|x| + |y|) / 7 shingles, so of any (|x| + |y|) / 7 + 1 segments one holds
 the same subset on both sides. Every set is indexed by the hashes of its non-empty segment subsets. The counts of these
 hashes are the costs: a set leaves out as many of its costliest segments as the pigeonhole allows, and a set whose frequent
-segments are all left out meets nobody. In the bands of the smallest sets, where shingles may crowd into too few segments,
+segments are all left out meets nobody. Of the sets that are left, those go of which less than 3/4 of the shingles occur in
+another one (a passage that many texts share is not enough for a link). In the bands of the smallest sets, where shingles may crowd into too few segments,
 the subsets short of one shingle are indexed too, and such a segment counts twice. Candidates are verified on whole sets.
 
 A large group of sets behind one segment hash is first compared with its smallest member alone; what that and the links'
@@ -160,7 +161,7 @@ def _read_blocks(t: pa.Table):
     return keys[order], flags[order], np.concatenate(entry)[order], np.concatenate(entries)
 
 
-_SHARED = "id long, low boolean, n int, u int, b int, keys binary, costs binary, flags binary"
+_SHARED = "id long, low boolean, n int, u int, b int, whole int, keys binary, costs binary, flags binary"
 
 
 def _shared(t: pa.Table) -> pa.Table:
@@ -182,7 +183,44 @@ def _shared(t: pa.Table) -> pa.Table:
     at = runs(entry)
     e = entries[entry[at[:-1]]] if len(entry) else entries[:0]
     cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-    return pa.table({"id": e["id"], "low": pa.array(e["low"] > 0), "n": e["n"], "u": e["u"], "b": pa.array(e["b"].astype(np.int32)), "keys": cut(keys, "<u8"), "costs": cut(np.minimum(cost, 2**31 - 1), "<i4"), "flags": cut(flags, "u1")})
+    whole = (np.add.reduceat((flags & _SHORT) == 0, at[:-1], dtype=np.int64) if len(entry) else np.zeros(0)).astype(np.int32)
+    return pa.table({"id": e["id"], "low": pa.array(e["low"] > 0), "n": e["n"], "u": e["u"], "b": pa.array(e["b"].astype(np.int32)), "whole": whole, "keys": cut(keys, "<u8"), "costs": cut(np.minimum(cost, 2**31 - 1), "<i4"), "flags": cut(flags, "u1")})
+
+
+def may_link():
+    """Whether a set in a role shares enough whole segments to probe (own band or below) or to be found by a larger one."""
+    n, u, b, whole = (F.col(c) for c in ("n", "u", "b", "whole"))
+    need = F.when(F.col("low"), F.floor((n + F.least(n, F.pow(F.lit(2), b))) / 7)).otherwise(F.floor(2 * n / 7)) + 1
+    return (whole > u - need) | ~F.col("low") & ((b <= TINY) | (whole >= u - F.floor(n / 3)))
+
+
+def _emit_shingles(batches, k: int, buckets: int):
+    chunk = _Chunk()
+    for batch in batches:
+        ids, k1 = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for row, end, data, offsets in string_slices(batch.column(1)):
+            h, at = Words(data, offsets, lower=True).shingles(k)
+            n = np.diff(at)
+            entries = np.zeros(end - row, _ENTRY)
+            entries["id"], entries["n"] = ids[row:end], n
+            chunk.add(h, np.repeat(np.arange(end - row), n), np.zeros(len(h), np.uint8), entries)
+            if chunk.full():
+                yield chunk.blocks(buckets)
+    if chunk.size:
+        yield chunk.blocks(buckets)
+
+
+def _often(t: pa.Table) -> pa.Table:
+    """id, n, c: how many of the bucket's shingles of a set occur in another set as well."""
+    keys, _, entry, entries = _read_blocks(t)
+    ids = entries["id"][entry]
+    if len(keys):
+        new = runs(keys)
+        keep = np.repeat(np.minimum.reduceat(ids, new[:-1]) != np.maximum.reduceat(ids, new[:-1]), np.diff(new))
+        entry = entry[keep]
+    c = np.bincount(entry, minlength=len(entries)) if len(entry) else np.zeros(len(entries), np.int64)
+    on = c > 0
+    return pa.table({"id": entries["id"][on], "n": entries["n"][on], "c": pa.array(c[on].astype(np.int32))})
 
 
 def choose(n: int, u: int, b: int, low: bool, keys, costs, flags) -> np.ndarray:
@@ -203,9 +241,13 @@ def choose(n: int, u: int, b: int, low: bool, keys, costs, flags) -> np.ndarray:
     elif len(whole) > spare:
         order = whole[np.lexsort((keys[whole], costs[whole]))]
         out[order[: len(order) - spare]] |= _PROBE
-    # A smaller partner differs in at most n / 3 shingles from a set of n, so as many segments may miss.
-    if not low and (b <= TINY or len(whole) >= u - n // 3):
+    # A set of n differs from a linked larger one in at most n / 3 shingles, so at most so many of its segments miss, and
+    # the cheapest common segment is among its n / 3 + 1 cheapest. All sets rank segments alike, by cost and key.
+    if not low and b <= TINY:
         out |= _INDEX
+    elif not low and len(whole) >= u - n // 3:
+        order = whole[np.lexsort((keys[whole], costs[whole]))]
+        out[order[: len(order) - (u - n // 3 - 1)]] |= _INDEX
     return out
 
 
@@ -309,8 +351,12 @@ class JaccardJoin:
         reps = self.classes.select(F.col("rep").alias("doc_id")).distinct()
         keys = self.texts(reps).mapInArrow(lambda b: _emit(b, k, buckets), _BLOCKS)
         shared = s.save(keys.groupBy("bucket").applyInArrow(_shared, _SHARED), "shared")
+        roles = shared.groupBy("id", "low", "n", "u", "b").agg(F.sum("whole").alias("whole"))
+        self.held = s.save(self.texts(roles.where(may_link()).select(F.col("id").alias("doc_id")).distinct()), "held")
+        often = self.held.mapInArrow(lambda b: _emit_shingles(b, k, buckets), _BLOCKS).groupBy("bucket").applyInArrow(_often, "id long, n int, c int")
+        often = s.save(often.groupBy("id", "n").agg(F.sum("c").alias("c")).where("4 * c >= 3 * n").select("id").distinct(), "often")
         # A set's shared keys are at most its segments, so these lists are bounded by its own length.
-        mine = shared.groupBy("id", "low", "n", "u", "b").agg(*[F.collect_list(c).alias(c) for c in ("keys", "costs", "flags")])
+        mine = shared.join(often, "id", "left_semi").groupBy("id", "low", "n", "u", "b").agg(*[F.collect_list(c).alias(c) for c in ("keys", "costs", "flags")])
         found = mine.mapInArrow(lambda b: _select(b, buckets), _BLOCKS).groupBy("bucket").applyInArrow(_candidates, _FOUND)
         found = s.save(found, "found")
         s.drop("shared")
@@ -327,8 +373,7 @@ class JaccardJoin:
         """(rep, comp) of all classes that have links, and the verified links a-b that show it."""
         s = self.scratch
         pairs, members = self.candidates()
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = s.save(self.texts(ids), "texts")
+        texts = self.held
         comp = lambda df, c: df.join(self._comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
         open_ = lambda df: comp(comp(df, "a"), "b").where("ca <> cb")
         # First each set with the partner that most keys point to, then what is still open between components.
