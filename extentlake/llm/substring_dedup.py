@@ -16,23 +16,32 @@ from pyspark.sql import functions as F
 
 from ._buckets import bucket_count, cuts, pack_keys, runs, unpack_keys
 from ._common import Scratch, table
-from ._words import Words, string_slices
+from ._words import Words, mix, string_slices
 
 WIDTH = 50
 #: Windows sorted at a time in a map task.
 CHUNK = 1_500_000
 _SECOND_BASE = 0xC2B2AE3D27D4EB4F | 1
 
-_BLOCKS = "bucket int, keys binary, checks binary, owners binary, docs binary, doc_id long, hits binary"
+_BLOCKS = "bucket int, keys binary, checks binary, owners binary, docs binary, hits binary"
+_CLASSES = "doc_class int, docs binary, hits binary"
 _HITS = "doc_id long, hits binary"
 
 
-def _hits(docs: np.ndarray, keys: np.ndarray) -> tuple[list, list]:
-    """Documents and the keys of each as one binary."""
-    order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
-    at = runs(docs)
-    return docs[at[:-1]].tolist(), [keys[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:])]
+def _by_class(docs: np.ndarray, keys: np.ndarray, classes: int) -> list[tuple[int, bytes, bytes]]:
+    """(class, documents, keys) of hits: documents are dealt into classes, so that a block holds many of them."""
+    with np.errstate(over="ignore"):
+        c = (mix(docs.view(np.uint64)) % np.uint64(classes)).astype(np.int64)
+    order = np.argsort(c, kind="stable")
+    docs, keys, c = docs[order], keys[order], c[order]
+    at = runs(c)
+    return [(int(c[a]), docs[a:b].astype("<i8").tobytes(), keys[a:b].astype("<u8").tobytes()) for a, b in zip(at[:-1], at[1:])]
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")))
+    types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k] for k in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], list(names))
 
 
 def _chunk(keys, checks, docs, buckets: int) -> pa.RecordBatch:
@@ -43,18 +52,14 @@ def _chunk(keys, checks, docs, buckets: int) -> pa.RecordBatch:
     first[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
     start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
     more = ~first & (docs != docs[start])
-    hit_docs, hits = _hits(docs[more], keys[more])
+    # Hits travel along with the bucket of the same number as their class.
+    rows = [(c, None, None, None, d, h) for c, d, h in _by_class(docs[more], keys[more], buckets)]
     keys, checks, docs = keys[first], checks[first], docs[first]
     at = cuts(keys, buckets)
-    full = np.flatnonzero(np.diff(at))
-    rows = []
-    for b in full:
+    for b in np.flatnonzero(np.diff(at)):
         own, owner = np.unique(docs[at[b] : at[b + 1]], return_inverse=True)
-        rows.append((int(b), pack_keys(keys[at[b] : at[b + 1]]), checks[at[b] : at[b + 1]].tobytes(), owner.astype("<u4" if len(own) > 65536 else "<u2").tobytes(), own.astype("<i8").tobytes(), None, None))
-    # Hits travel along with any bucket.
-    rows += [(int(d % buckets), None, None, None, None, d, h) for d, h in zip(hit_docs, hits)]
-    types = [pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], [f.split()[0] for f in _BLOCKS.split(", ")])
+        rows.append((int(b), pack_keys(keys[at[b] : at[b + 1]]), checks[at[b] : at[b + 1]].tobytes(), owner.astype("<u4" if len(own) > 65536 else "<u2").tobytes(), own.astype("<i8").tobytes(), None))
+    return _batch(rows, _BLOCKS)
 
 
 def _emit(batches, width: int, buckets: int):
@@ -78,10 +83,10 @@ def _emit(batches, width: int, buckets: int):
         yield out()
 
 
-def _count(t: pa.Table) -> pa.Table:
-    """Hits of one bucket: each window's documents but the smallest."""
+def _count(t: pa.Table, classes: int) -> pa.Table:
+    """Hits of one bucket by class: each window's documents but the smallest."""
     blocks = [r for r in zip(*(t.column(c).to_pylist() for c in ("keys", "checks", "owners", "docs"))) if r[0] is not None]
-    passed = t.filter(pa.compute.is_valid(t.column("doc_id"))).select(["doc_id", "hits"])
+    passed = t.filter(pa.compute.is_valid(t.column("hits"))).select(["bucket", "docs", "hits"]).rename_columns(["doc_class", "docs", "hits"])
     keys = np.concatenate([np.zeros(0, np.uint64), *[unpack_keys(r[0]) for r in blocks]])
     order = np.argsort(keys, kind="stable")
     new = runs(keys[order])
@@ -97,17 +102,25 @@ def _count(t: pa.Table) -> pa.Table:
     first[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
     start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, int)
     more = docs != docs[start]
-    d, h = _hits(docs[more], keys[more])
-    found = pa.table({"doc_id": pa.array(d, pa.int64()), "hits": pa.array(h, pa.binary())})
-    return pa.concat_tables([passed.cast(found.schema), found])
+    return pa.concat_tables([passed, pa.Table.from_batches([_batch(_by_class(docs[more], keys[more], classes), _CLASSES)])])
+
+
+def _unpack(t: pa.Table) -> pa.Table:
+    """One row for each document of a class."""
+    docs, keys = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()]) for c, k in (("docs", "<i8"), ("hits", "<u8")))
+    order = np.argsort(docs, kind="stable")
+    docs, keys = docs[order], keys[order]
+    at = runs(docs)
+    return pa.Table.from_batches([_batch([(int(docs[a]), keys[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])], _HITS)])
 
 
 def repeated_windows(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, hits: hashes of the windows of a document that also start in one with a smaller id (several rows each)."""
+    """doc_id, hits: hashes of the windows of a document that also start in one with a smaller id."""
     buckets = bucket_count(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     blocks = docs.mapInArrow(lambda b: _emit(b, width, buckets), _BLOCKS)
-    return blocks.groupBy("bucket").applyInArrow(_count, _HITS)
+    classes = blocks.groupBy("bucket").applyInArrow(lambda t: _count(t, buckets), _CLASSES)
+    return classes.groupBy("doc_class").applyInArrow(_unpack, _HITS)
 
 
 _OUT = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept string"
@@ -116,17 +129,18 @@ _OUT = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept
 def _remove(batches, width: int):
     for batch in batches:
         ids, texts, hits = batch.columns[:3]
-        wanted = [set().union(*(np.frombuffer(x, "<u8").tolist() for x in h)) if h else None for h in hits.to_pylist()]
+        wanted = [np.frombuffer(h, "<u8") if h else None for h in hits.to_pylist()]
         n, spans, kept = [], [], []
         for row, end, data, offsets in string_slices(texts):
-            w = Words(data, offsets) if any(wanted[row:end]) else None
+            w = Words(data, offsets) if any(x is not None for x in wanted[row:end]) else None
+            if w:
+                starts = w.window_starts(width)
+                windows, edge = w.window_hashes(starts, width), np.searchsorted(starts, w.bounds)
             for i in range(row, end):
                 words = data[offsets[i - row] : offsets[i - row + 1]].tobytes().split()
                 out = []
-                if wanted[i] and len(words) >= width:
-                    a = w.bounds[i - row]
-                    at = a + np.arange(len(words) - width + 1)
-                    gone = np.flatnonzero(np.isin(w.window_hashes(at, width), np.fromiter(wanted[i], np.uint64, len(wanted[i]))))
+                if wanted[i] is not None and len(words) >= width:
+                    gone = np.flatnonzero(np.isin(windows[edge[i - row] : edge[i - row + 1]], wanted[i]))
                     step = np.zeros(len(words) + 1, np.int64)
                     np.add.at(step, gone, 1)
                     np.add.at(step, gone + width, -1)
@@ -151,7 +165,6 @@ def deduplicate(documents: DataFrame, width: int = WIDTH, carry: list[str] = ())
     is removed from each. Columns that aren't named are not read; an empty table gives an empty result.
     """
     hits = Scratch(documents.sparkSession, "substrings").save(repeated_windows(documents, width), "hits")
-    hits = hits.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
     rows = rows.join(hits, "doc_id", "left").select("doc_id", "text", "hits", *[f"_{k}" for k in range(len(carry))])
     types = "".join(f", _{k} {documents.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
