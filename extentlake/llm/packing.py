@@ -23,6 +23,8 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK_ITEMS = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITES = 2, 2, 6, 12, 2
+#: Bins that a new individual tries to fill better by trading items with those to be placed.
+TRADES = 60
 #: Bins filled less than this share are dissolved and packed across blocks.
 POOR = 0.97
 #: Distinct white-space separated pieces of text whose ids a worker remembers.
@@ -46,6 +48,9 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Byte-level vocabularies write a byte that doesn't print as the next free character from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.clear()
 
     def clear(self):
@@ -53,11 +58,21 @@ class Tokens:
         self.first, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, runs: list[str]) -> None:
-        # One call for all of them: the tokens' places in the joined text tell whose they are.
-        got = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
-        begin = np.cumsum([0, *(len(r) + 1 for r in runs[:-1])])
-        size = np.bincount(np.searchsorted(begin, [a for a, _ in got.offsets], "right") - 1, minlength=len(runs))
-        self._add(runs, size, np.array(got.ids, np.uint32))
+        words, rest = [], []
+        for r in runs:
+            low = r.lower()
+            (words if len(low) == len(r) and low.isalpha() and max(low) < "\u0300" else rest).append(r)
+        if words:
+            # Letters only, with nothing to normalise but their case: such a run is one word, and goes to the merges at once.
+            of = self.tokenizer.model.tokenize
+            got = [[t.id for t in of(w.lower().encode().decode("latin-1").translate(self.bytes))] for w in words]
+            self._add(words, np.array([len(g) for g in got]), np.array([i for g in got for i in g], np.uint32))
+        if rest:
+            # One call for all others: the tokens' places in the joined text tell whose they are.
+            got = self.tokenizer.encode(" ".join(rest), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(r) + 1 for r in rest[:-1])])
+            size = np.bincount(np.searchsorted(begin, [a for a, _ in got.offsets], "right") - 1, minlength=len(rest))
+            self._add(rest, size, np.array(got.ids, np.uint32))
 
     def _gather(self, runs) -> tuple[np.ndarray, np.ndarray]:
         """Sizes of the runs and all of their ids."""
@@ -84,7 +99,7 @@ class Tokens:
         runs = [x for s in split for x in s]
         if new := set(runs).difference(self.index):
             # A comma or full stop after a letter is always a token of its own: the word before it is looked up alone.
-            marked = [r for r in new if r[-1] in ",." and r[-2:-1].isalpha()]
+            marked = [r for r in new if r[-1] in ",." and "@" < r[-2:-1] < "\u0300" and r[-2].lower().isalpha()]
             plain = new.difference(marked).union(r[:-1] for r in marked).union(",.").difference(self.index)
             if plain:
                 self._learn(list(plain))
@@ -182,8 +197,37 @@ class Island:
             if used.isdisjoint(parent.bins[k]):
                 bins.append(list(parent.bins[k]))
         used = {i for b in bins for i in b}
-        left = sorted((i for i in range(len(self.size)) if i not in used), key=lambda i: -self.size[i])
-        return self.build(left, bins, [sum(self.size[i] for i in b) for b in bins])
+        left = [i for i in range(len(self.size)) if i not in used]
+        fill = [sum(self.size[i] for i in b) for b in bins]
+        self.trade(left, bins, fill)
+        return self.build(sorted(left, key=lambda i: -self.size[i]), bins, fill)
+
+    def trade(self, left: list[int], bins: list[list[int]], fill: list[int]) -> None:
+        """Swap one or two items of a bin for one or two displaced ones where that fills the bin better: what is left to
+        place becomes smaller. A bounded number of bins is tried, chosen at random."""
+        size = self.size
+        for b in self.rng.permutation(len(bins))[:TRADES]:
+            room, best = self.capacity - fill[b], None
+            if not room or not left:
+                continue
+            own = bins[b]
+            out = [(i,) for i in own] + [(i, j) for x, i in enumerate(own) for j in own[:x]][:40]
+            some = left if len(left) <= 24 else [left[k] for k in self.rng.permutation(len(left))[:24]]
+            into = [(i,) for i in some] + [(i, j) for x, i in enumerate(some) for j in some[:x]]
+            gains = np.array([sum(size[i] for i in t) for t in into])
+            order = np.argsort(gains, kind="stable")
+            for t in out:
+                s = sum(size[i] for i in t)
+                k = int(np.searchsorted(gains[order], s + room, "right")) - 1
+                if k >= 0 and (gain := int(gains[order[k]]) - s) > 0 and (best is None or gain > best[0]):
+                    best = gain, t, into[order[k]]
+                    if gain == room:
+                        break
+            if best:
+                gain, t, u = best
+                bins[b] = [i for i in own if i not in t] + list(u)
+                fill[b] += gain
+                left[:] = [i for i in left if i not in u] + list(t)
 
     def cross(self, a: Packing, b: Packing) -> Packing:
         full = np.argsort([-f for f in b.fill], kind="stable")[: max(1, len(b.bins) // 2)]
