@@ -12,8 +12,8 @@ U = np.uint64
 
 
 def bucket_count(spark) -> int:
-    """Four per shuffle partition, so that hashing buckets to partitions stays even."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Two per shuffle partition, so that hashing buckets to partitions stays even."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
