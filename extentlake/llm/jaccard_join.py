@@ -2,14 +2,18 @@
 
 Texts are sets of hashed word shingles. A size band cuts the universe of shingles into segments by a hash; sets of
 Jaccard similarity 3/4 or more differ in at most (|x| + |y|) / 7 shingles, so of any (|x| + |y|) / 7 + 1 segments one holds
-the same subset on both sides. Every set is indexed by the hashes of its non-empty segment subsets. The counts of these
-hashes are the costs: a set leaves out as many of its costliest segments as the pigeonhole allows, and a set whose frequent
-segments are all left out meets nobody. Of the sets that are left, those go of which less than 3/4 of the shingles occur in
-another one (a passage that many texts share is not enough for a link). In the bands of the smallest sets, where shingles may crowd into too few segments,
-the subsets short of one shingle are indexed too, and such a segment counts twice. Candidates are verified on whole sets.
-
-A large group of sets behind one segment hash is first compared with its smallest member alone; what that and the links'
-components leave open between different components is compared pair by pair.
+the same subset on both sides. Sets are indexed by the hashes of their non-empty segment subsets, and the counts of these
+hashes are the costs: a set leaves out as many of its costliest segments as the pigeonhole allows.
+
+This is done twice. A coarse partition of all sets (two or three shingles a segment, few hashes) counts alone: a set that
+shares no more segments than it may leave out meets nobody and is done. A fine partition of the sets that are left (most
+segments hold one shingle) leaves out up to two thirds of a set, so a passage that many texts share makes no candidates.
+In the bands of the smallest sets, where shingles may crowd into too few segments, the subsets short of one shingle are
+indexed too, and such a segment counts twice. Candidates are verified on whole sets.
+
+A large group of sets behind one segment hash is first compared with its smallest member alone. Groups that the links'
+components leave open are compared in tiles of two blocks of sets (their incidence matrices are multiplied), except within
+the group's largest component; a tile returns only links that join components, not pairs.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ from ._graph import components
 from ._words import Words, mix, string_slices
 
 K = 5
-#: Segments per shingle at a band's upper size, and at least so many.
-DENSITY, MIN_SEGMENTS = 0.45, 64
+#: Segments per shingle at a band's upper size in the coarse and the fine partition, and at least so many.
+COARSE, FINE, MIN_SEGMENTS = 0.45, 8.0, 64
 #: Bands up to this (sets of up to 2^TINY shingles) also index subsets short of one shingle.
 TINY = 4
 CHUNK_KEYS, CHUNK_SETS = 1_000_000, 15_000
-#: Groups of up to this many sets are compared pair by pair at once.
-SMALL_GROUP = 3
+#: Groups of up to this many sets are compared pair by pair at once; larger ones in blocks of so many.
+SMALL_GROUP, BLOCK_SETS = 3, 256
+#: Shingles multiplied at a time in a tile.
+TILE_SHINGLES = 4096
 
 U = np.uint64
 _LOW, _SHORT, _PROBE, _INDEX = 1, 2, 4, 8  # flags of a key: from the band above; short of one shingle; probes; is indexed
@@ -43,8 +49,8 @@ def band(n):
     return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def segments(b):
-    return np.maximum(MIN_SEGMENTS, np.ceil(DENSITY * 2.0**b)).astype(np.int64)
+def segments(b, density):
+    return np.maximum(MIN_SEGMENTS, np.ceil(density * 2.0**b)).astype(np.int64)
 
 
 def needed(n, b, low):
@@ -67,17 +73,18 @@ class _Chunk:
     """Keys of some sets, to be sorted and sent off in blocks; entry: which set in which role."""
 
     def __init__(self):
-        self.keys, self.entry, self.flags, self.entries, self.size = [], [], [], [], 0
+        self.keys, self.entry, self.flags, self.entries, self.size, self.sets = [], [], [], [], 0, 0
 
     def add(self, keys, entry, flags, entries):
         self.keys.append(keys)
-        self.entry.append(entry + sum(len(e) for e in self.entries))
+        self.entry.append(entry + self.sets)
         self.flags.append(flags)
         self.entries.append(entries)
         self.size += len(keys)
+        self.sets += len(entries)
 
     def full(self) -> bool:
-        return self.size >= CHUNK_KEYS or sum(len(e) for e in self.entries) >= CHUNK_SETS
+        return self.size >= CHUNK_KEYS or self.sets >= CHUNK_SETS
 
     def blocks(self, buckets: int) -> pa.RecordBatch:
         keys, entry, flags, entries = (np.concatenate(c) for c in (self.keys, self.entry, self.flags, self.entries))
@@ -97,12 +104,12 @@ _BLOCKS = "bucket int, keys binary, entry binary, flags binary, entries binary"
 _ENTRY = np.dtype([("id", "<i8"), ("n", "<i4"), ("u", "<i4"), ("b", "i1"), ("low", "i1")])
 
 
-def _role(h, at, ids, n, b, low):
+def _role(h, at, ids, n, b, low, density):
     """Keys, entries' numbers, flags and entries of the sets h[at[i]:at[i + 1]] in band b."""
     size = np.diff(at)
     owner = np.repeat(np.arange(len(size)), size)
     with np.errstate(over="ignore"):
-        seg = (mix(h ^ (U(0x5851F42D4C957F2D) * b.astype(U)[owner])) % segments(b).astype(U)[owner]).astype(np.int64)
+        seg = (mix(h ^ (U(0x5851F42D4C957F2D) * b.astype(U)[owner])) % segments(b, density).astype(U)[owner]).astype(np.int64)
         order = np.argsort(owner * (1 << 40) + seg, kind="stable")
         owner, seg, value = owner[order], seg[order], mix(h[order] + U(3))
         new = runs(owner * (1 << 40) + seg)[:-1]
@@ -121,7 +128,7 @@ def _role(h, at, ids, n, b, low):
     return np.concatenate(keys), np.concatenate(entry), np.concatenate(flags), entries
 
 
-def _emit(batches, k: int, buckets: int):
+def _emit(batches, k: int, buckets: int, density: float):
     chunk = _Chunk()
     for batch in batches:
         ids, k1 = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -137,7 +144,7 @@ def _emit(batches, k: int, buckets: int):
                 if not len(which):
                     continue
                 part = np.concatenate([h[at[i] : at[i + 1]] for i in which])
-                chunk.add(*_role(part, np.concatenate([[0], np.cumsum(n[which])]), ids[row:end][which], n[which], b[which] - low, np.full(len(which), low)))
+                chunk.add(*_role(part, np.concatenate([[0], np.cumsum(n[which])]), ids[row:end][which], n[which], b[which] - low, np.full(len(which), low), density))
             if chunk.full():
                 yield chunk.blocks(buckets)
     if chunk.size:
@@ -161,66 +168,70 @@ def _read_blocks(t: pa.Table):
     return keys[order], flags[order], np.concatenate(entry)[order], np.concatenate(entries)
 
 
-_SHARED = "id long, low boolean, n int, u int, b int, whole int, keys binary, costs binary, flags binary"
-
-
-def _shared(t: pa.Table) -> pa.Table:
-    """Of every set in every role, the bucket's keys that another set has too, and how many indexed sets have each."""
+def _shared_runs(t: pa.Table):
+    """Of every set in every role, the bucket's keys that another set has too and an indexed set has: keys, costs (indexed
+    sets that have the key), flags, starts of the sets' runs, entries of the runs."""
     keys, flags, entry, entries = _read_blocks(t)
     ids = entries["id"][entry]
     new = runs(keys)
-    size = np.diff(new)
     if len(keys):
         own = np.add.reduceat(((flags & _LOW) == 0).astype(np.int64), new[:-1])
         several = np.minimum.reduceat(ids, new[:-1]) != np.maximum.reduceat(ids, new[:-1])
-        keep = np.repeat(several & (own > 0), size)
-        cost = np.repeat(own, size)
+        keep, cost = np.repeat(several & (own > 0), np.diff(new)), np.repeat(own, np.diff(new))
         keys, flags, entry, cost = keys[keep], flags[keep], entry[keep], cost[keep]
     else:
-        cost = size
+        cost = np.zeros(0, np.int64)
     order = np.argsort(entry, kind="stable")
-    keys, flags, entry, cost = keys[order], flags[order], entry[order], cost[order]
-    at = runs(entry)
-    e = entries[entry[at[:-1]]] if len(entry) else entries[:0]
-    cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-    whole = (np.add.reduceat((flags & _SHORT) == 0, at[:-1], dtype=np.int64) if len(entry) else np.zeros(0)).astype(np.int32)
-    return pa.table({"id": e["id"], "low": pa.array(e["low"] > 0), "n": e["n"], "u": e["u"], "b": pa.array(e["b"].astype(np.int32)), "whole": whole, "keys": cut(keys, "<u8"), "costs": cut(np.minimum(cost, 2**31 - 1), "<i4"), "flags": cut(flags, "u1")})
+    at = runs(entry[order])
+    return keys[order], np.minimum(cost[order], 2**31 - 1), flags[order], at, entries[entry[order][at[:-1]]] if len(entry) else entries[:0]
 
 
-def may_link():
-    """Whether a set in a role shares enough whole segments to probe (own band or below) or to be found by a larger one."""
-    n, u, b, whole = (F.col(c) for c in ("n", "u", "b", "whole"))
-    need = F.when(F.col("low"), F.floor((n + F.least(n, F.pow(F.lit(2), b))) / 7)).otherwise(F.floor(2 * n / 7)) + 1
-    return (whole > u - need) | ~F.col("low") & ((b <= TINY) | (whole >= u - F.floor(n / 3)))
+def _classes_of(ids: np.ndarray, classes: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(ids.view(U) if ids.flags.c_contiguous else np.ascontiguousarray(ids).view(U)) % U(classes)).astype(np.int64)
 
 
-def _emit_shingles(batches, k: int, buckets: int):
-    chunk = _Chunk()
-    for batch in batches:
-        ids, k1 = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        for row, end, data, offsets in string_slices(batch.column(1)):
-            h, at = Words(data, offsets, lower=True).shingles(k)
-            n = np.diff(at)
-            entries = np.zeros(end - row, _ENTRY)
-            entries["id"], entries["n"] = ids[row:end], n
-            chunk.add(h, np.repeat(np.arange(end - row), n), np.zeros(len(h), np.uint8), entries)
-            if chunk.full():
-                yield chunk.blocks(buckets)
-    if chunk.size:
-        yield chunk.blocks(buckets)
+_COUNTED = "cls int, entries binary, whole binary"
 
 
-def _often(t: pa.Table) -> pa.Table:
-    """id, n, c: how many of the bucket's shingles of a set occur in another set as well."""
-    keys, _, entry, entries = _read_blocks(t)
-    ids = entries["id"][entry]
-    if len(keys):
-        new = runs(keys)
-        keep = np.repeat(np.minimum.reduceat(ids, new[:-1]) != np.maximum.reduceat(ids, new[:-1]), np.diff(new))
-        entry = entry[keep]
-    c = np.bincount(entry, minlength=len(entries)) if len(entry) else np.zeros(len(entries), np.int64)
-    on = c > 0
-    return pa.table({"id": entries["id"][on], "n": entries["n"][on], "c": pa.array(c[on].astype(np.int32))})
+def _counted(t: pa.Table, classes: int) -> pa.Table:
+    """Shared whole segments of the sets of a bucket, in blocks by class of the sets' ids."""
+    _, _, flags, at, e = _shared_runs(t)
+    whole = np.add.reduceat((flags & _SHORT) == 0, at[:-1], dtype=np.int64).astype("<i4") if len(e) else np.zeros(0, "<i4")
+    c = _classes_of(e["id"], classes)
+    order = np.argsort(c, kind="stable")
+    cut = runs(c[order])
+    rows = [(int(c[order[a]]), e[order[a:b]].tobytes(), whole[order[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+    return pa.table({"cls": pa.array([r[0] for r in rows], pa.int32()), "entries": pa.array([r[1] for r in rows], pa.binary()), "whole": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _may_link(t: pa.Table) -> pa.Table:
+    """Ids of a class whose sets share enough whole segments to probe (own band or below) or to be found by a larger set."""
+    e = np.concatenate([np.frombuffer(x, _ENTRY) for x in t.column("entries").to_pylist()])
+    whole = np.concatenate([np.frombuffer(x, "<i4") for x in t.column("whole").to_pylist()]).astype(np.int64)
+    role, at = np.unique(e, return_inverse=True)
+    whole = np.bincount(at, whole, len(role)).astype(np.int64)
+    n, u, b, low = (role[c].astype(np.int64) for c in ("n", "u", "b", "low"))
+    ok = (whole > u - needed(n, b, low > 0)) | (low == 0) & ((b <= TINY) | (whole >= u - n // 3))
+    return pa.table({"doc_id": np.unique(role["id"][ok])})
+
+
+_SHARED = "cls int, entries binary, sizes binary, keys binary, costs binary, flags binary"
+
+
+def _shared(t: pa.Table, classes: int) -> pa.Table:
+    """The shared keys themselves, with costs, in blocks by class."""
+    keys, costs, flags, at, e = _shared_runs(t)
+    size = np.diff(at)
+    c = _classes_of(e["id"], classes)
+    order = np.argsort(c, kind="stable")
+    rows = []
+    for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))(runs(c[order]))):
+        own = order[a:b]
+        where = np.concatenate([np.arange(at[i], at[i + 1]) for i in own])
+        rows.append((int(c[own[0]]), e[own].tobytes(), size[own].astype("<i4").tobytes(), keys[where].astype("<u8").tobytes(), costs[where].astype("<i4").tobytes(), flags[where].astype("u1").tobytes()))
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [f.split()[0] for f in _SHARED.split(", ")])
 
 
 def choose(n: int, u: int, b: int, low: bool, keys, costs, flags) -> np.ndarray:
@@ -236,7 +247,7 @@ def choose(n: int, u: int, b: int, low: bool, keys, costs, flags) -> np.ndarray:
     spare = u - need
     if spare < 0:
         if b > TINY:
-            raise ValueError(f"a set of {n} shingles fell into {u} of {segments(b)} segments; {need} are needed")
+            raise ValueError(f"a set of {n} shingles fell into {u} segments of band {b}; {need} are needed")
         out |= _PROBE
     elif len(whole) > spare:
         order = whole[np.lexsort((keys[whole], costs[whole]))]
@@ -251,30 +262,36 @@ def choose(n: int, u: int, b: int, low: bool, keys, costs, flags) -> np.ndarray:
     return out
 
 
-def _select(batches, buckets: int):
-    chunk = _Chunk()
-    for batch in batches:
-        for r in batch.to_pylist():
-            keys, costs, flags = (np.concatenate([np.frombuffer(x, t) for x in r[c]]) for c, t in (("keys", "<u8"), ("costs", "<i4"), ("flags", "u1")))
-            keys, at = np.unique(keys, return_index=True)
-            flags = choose(r["n"], r["u"], r["b"], r["low"], keys, costs[at], flags[at])
-            on = (flags & (_PROBE | _INDEX)) > 0
-            if on.any():
-                e = np.zeros(1, _ENTRY)
-                e["id"], e["n"], e["b"], e["low"] = r["id"], r["n"], r["b"], r["low"]
-                chunk.add(keys[on], np.zeros(on.sum(), np.int64), flags[on], e)
-            if chunk.full():
-                yield chunk.blocks(buckets)
+def _select(t: pa.Table, buckets: int) -> pa.Table:
+    """Allocation for all sets of a class; the keys that probe or are indexed, in blocks by bucket."""
+    of = lambda c, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in t.column(c).to_pylist()]])
+    e, keys, costs, flags = of("entries", _ENTRY), of("keys", "<u8"), of("costs", "<i4"), of("flags", "u1")
+    owner = np.repeat(np.arange(len(e)), of("sizes", "<i4"))
+    role, at = np.unique(e, return_inverse=True)
+    order = np.lexsort((keys, at[owner]))
+    keys, costs, flags, owner = keys[order], costs[order], flags[order], at[owner][order]
+    cut, chunk, out = runs(owner), _Chunk(), []
+    for a, b in zip(cut[:-1], cut[1:]):
+        r = role[owner[a]]
+        own, first = np.unique(keys[a:b], return_index=True)
+        f = choose(int(r["n"]), int(r["u"]), int(r["b"]), bool(r["low"]), own, costs[a:b][first], flags[a:b][first])
+        on = (f & (_PROBE | _INDEX)) > 0
+        if on.any():
+            chunk.add(own[on], np.zeros(on.sum(), np.int64), f[on], role[owner[a] : owner[a] + 1])
+        if chunk.full():
+            out.append(chunk.blocks(buckets))
     if chunk.size:
-        yield chunk.blocks(buckets)
+        out.append(chunk.blocks(buckets))
+    empty = pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.int32(), *[pa.binary()] * 4)], ["bucket", "keys", "entry", "flags", "entries"])
+    return pa.Table.from_batches(out or [empty])
 
 
-_FOUND = "a long, b long, hits int, key long, probes boolean, indexed boolean, n int"
+_FOUND = "a long, b long, hits int"
 
 
 def _candidates(t: pa.Table) -> pa.Table:
-    """Pairs (a < b, with how many keys found them); of groups above SMALL_GROUP only pairs with the smallest set, and
-    their members as rows of ``key``."""
+    """Pairs (a < b, with how many keys found them); of groups above SMALL_GROUP only pairs with the smallest set, and rows
+    (smallest, member, null) of all members."""
     keys, flags, entry, entries = _read_blocks(t)
     ids, n = entries["id"][entry], entries["n"][entry].astype(np.int64)
     order = np.lexsort((ids, keys))
@@ -292,22 +309,80 @@ def _candidates(t: pa.Table) -> pa.Table:
         probes, indexed = (f & _PROBE) > 0, (f & _INDEX) > 0
         if not probes.any() or not indexed.any():
             continue
-        for first in range(len(i) - 1 if len(i) <= SMALL_GROUP else 1):
+        large = len(i) > SMALL_GROUP
+        for first in range(1 if large else len(i) - 1):
             o = slice(first + 1, None)
-            ok = (4 * np.minimum(m[first], m[o]) >= 3 * np.maximum(m[first], m[o])) & (probes[first] & indexed[o] | indexed[first] & probes[o] | (len(i) > SMALL_GROUP))
+            ok = (4 * np.minimum(m[first], m[o]) >= 3 * np.maximum(m[first], m[o])) & (probes[first] & indexed[o] | indexed[first] & probes[o] | large)
             pairs.append(np.stack([np.full(ok.sum(), i[first]), i[o][ok]], 1))
-        if len(i) > SMALL_GROUP:
-            members.append((np.full(len(i), keys[s].astype(np.int64)), i, probes, indexed, m))
-    p, hits = np.unique(np.concatenate(pairs), axis=0, return_counts=True) if pairs else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    g = [np.concatenate(c) for c in zip(*members)] if members else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64)]
-    none = lambda k, t: pa.nulls(k, t)
-    x, y = len(p), len(g[0])
-    cat = lambda v, w, t: pa.chunked_array([v.cast(t), w.cast(t)])
-    return pa.table({
-        "a": cat(pa.array(p[:, 0]), pa.array(g[1]), pa.int64()), "b": cat(pa.array(p[:, 1]), none(y, pa.int64()), pa.int64()),
-        "hits": cat(pa.array(hits), none(y, pa.int32()), pa.int32()), "key": cat(none(x, pa.int64()), pa.array(g[0]), pa.int64()),
-        "probes": cat(none(x, pa.bool_()), pa.array(g[2]), pa.bool_()), "indexed": cat(none(x, pa.bool_()), pa.array(g[3]), pa.bool_()), "n": cat(none(x, pa.int32()), pa.array(g[4]), pa.int32()),
-    })
+        if large:
+            members.append(np.stack([np.full(len(i), i[0]), i], 1))
+    none = np.zeros((0, 2), np.int64)
+    p, hits = np.unique(np.concatenate([none, *pairs]), axis=0, return_counts=True)
+    g = np.unique(np.concatenate([none, *members]), axis=0)
+    both = np.concatenate([p, g])
+    hits = pa.array(np.concatenate([hits, np.zeros(len(g), np.int64)]).astype(np.int32), mask=np.arange(len(both)) >= len(p))
+    return pa.table({"a": both[:, 0].copy(), "b": both[:, 1].copy(), "hits": hits})
+
+
+_PACKED = "leader long, rest boolean, block long, ids binary, comps binary, bounds binary, hashes binary"
+
+
+def _pack(t: pa.Table, k: int) -> pa.Table:
+    """The sets of one block in one row."""
+    hashes, size = [], []
+    for _, _, data, offsets in string_slices(t.column("text")):
+        h, at = Words(data, offsets, lower=True).shingles(k)
+        hashes.append(h)
+        size.append(np.diff(at))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(size))])
+    blob = lambda x, kind: pa.array([np.ascontiguousarray(x).astype(kind).tobytes()], pa.binary())
+    one = lambda c: t.column(c)[:1].combine_chunks()
+    return pa.table({"leader": one("leader"), "rest": one("rest"), "block": one("block"), "ids": blob(t.column("id").to_numpy(), "<i8"), "comps": blob(t.column("comp").to_numpy(), "<i8"), "bounds": blob(bounds, "<i8"), "hashes": blob(np.concatenate(hashes), "<u8")})
+
+
+def common_counts(h1, b1, h2, b2) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets (hashes and bounds): products of their incidence matrices."""
+    both = np.intersect1d(h1, h2)
+    out = np.zeros((len(b1) - 1, len(b2) - 1), np.float64)
+    places = []
+    for h, b in ((h1, b1), (h2, b2)):
+        at = np.minimum(np.searchsorted(both, h), max(0, len(both) - 1))
+        on = both[at] == h if len(both) else np.zeros(len(h), bool)
+        row, col = np.repeat(np.arange(len(b) - 1), np.diff(b))[on], at[on]
+        order = np.argsort(col, kind="stable")
+        places.append((row[order], col[order], len(b) - 1))
+    for first in range(0, len(both), TILE_SHINGLES):
+        sides = []
+        for row, col, n in places:
+            s = slice(*np.searchsorted(col, [first, first + TILE_SHINGLES]))
+            m = np.zeros((n, min(TILE_SHINGLES, len(both) - first)), np.float32)
+            m[row[s], col[s] - first] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _tile_links(batches):
+    """Of each tile, links a < b that join sets of different components: a forest of them, no more than there are sets."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            (i1, c1, b1, h1), (i2, c2, b2, h2) = ([np.frombuffer(r[f"{side}_{c}"], t) for c, t in (("ids", "<i8"), ("comps", "<i8"), ("bounds", "<i8"), ("hashes", "<u8"))] for side in ("x", "y"))
+            both = common_counts(h1, b1, h2, b2)
+            size = np.diff(b1)[:, None] + np.diff(b2)[None, :]
+            root: dict[int, int] = {}
+
+            def find(c, root=root):
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for x, y in zip(*np.nonzero((4 * both >= 3 * (size - both)) & (c1[:, None] != c2[None, :]))):
+                p, q = find(int(c1[x])), find(int(c2[y]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((min(int(i1[x]), int(i2[y])), max(int(i1[x]), int(i2[y]))))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
 def _similar(batches, k: int, num: int, den: int):
@@ -346,22 +421,38 @@ class JaccardJoin:
         return self.docs.join(own.join(ids, "doc_id", "left_semi"), "doc_id").select("doc_id", "text", "k1")
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """(pairs a, b, hits) and (members key, id, probes, indexed, n of the large groups)."""
+        """(pairs a, b, hits) and (leader, id) of the members of large groups, by their smallest members."""
         s, k, buckets = self.scratch, self.k, bucket_count(self.spark)
         reps = self.classes.select(F.col("rep").alias("doc_id")).distinct()
-        keys = self.texts(reps).mapInArrow(lambda b: _emit(b, k, buckets), _BLOCKS)
-        shared = s.save(keys.groupBy("bucket").applyInArrow(_shared, _SHARED), "shared")
-        roles = shared.groupBy("id", "low", "n", "u", "b").agg(F.sum("whole").alias("whole"))
-        self.held = s.save(self.texts(roles.where(may_link()).select(F.col("id").alias("doc_id")).distinct()), "held")
-        often = self.held.mapInArrow(lambda b: _emit_shingles(b, k, buckets), _BLOCKS).groupBy("bucket").applyInArrow(_often, "id long, n int, c int")
-        often = s.save(often.groupBy("id", "n").agg(F.sum("c").alias("c")).where("4 * c >= 3 * n").select("id").distinct(), "often")
-        # A set's shared keys are at most its segments, so these lists are bounded by its own length.
-        mine = shared.join(often, "id", "left_semi").groupBy("id", "low", "n", "u", "b").agg(*[F.collect_list(c).alias(c) for c in ("keys", "costs", "flags")])
-        found = mine.mapInArrow(lambda b: _select(b, buckets), _BLOCKS).groupBy("bucket").applyInArrow(_candidates, _FOUND)
-        found = s.save(found, "found")
-        s.drop("shared")
-        pairs = found.where("key IS NULL").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
-        return s.save(pairs, "pairs"), found.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "probes", "indexed", "n")
+        coarse = self.texts(reps).mapInArrow(lambda b: _emit(b, k, buckets, COARSE), _BLOCKS)
+        counted = coarse.groupBy("bucket").applyInArrow(lambda t: _counted(t, buckets), _COUNTED)
+        some = s.save(counted.groupBy("cls").applyInArrow(_may_link, "doc_id long"), "some")
+        #: Texts of the sets that may have links.
+        self.held = s.save(self.texts(some), "held")
+        fine = self.held.mapInArrow(lambda b: _emit(b, k, buckets, FINE), _BLOCKS)
+        shared = fine.groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), _SHARED)
+        chosen = shared.groupBy("cls").applyInArrow(lambda t: _select(t, buckets), _BLOCKS)
+        found = s.save(chosen.groupBy("bucket").applyInArrow(_candidates, _FOUND), "found")
+        pairs = found.where("hits IS NOT NULL").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+        members = found.where("hits IS NULL").select(F.col("a").alias("leader"), F.col("b").alias("id")).distinct()
+        return s.save(pairs, "pairs"), s.save(members, "members")
+
+    def open_groups(self, members: DataFrame) -> DataFrame:
+        """Links a-b between components that large groups still hold, compared in tiles of blocks."""
+        s, k = self.scratch, self.k
+        m = members.join(self._comp.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        m = s.save(m, "grouped")
+        parts = m.groupBy("leader", "comp").agg(F.count("*").alias("c"))
+        groups = parts.groupBy("leader").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n")).where("parts > 1")
+        groups = s.save(groups, "groups")
+        m = m.join(groups, "leader").withColumn("rest", F.col("comp") != F.col("main"))
+        of = F.when(F.col("rest"), F.col("n") - F.col("n_main")).otherwise(F.col("n_main"))
+        m = m.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(of / BLOCK_SETS)))
+        m = m.select("leader", "rest", "block", "id", "comp").join(self.held.select(F.col("doc_id").alias("id"), "text"), "id")
+        packed = s.save(m.groupBy("leader", "rest", "block").applyInArrow(lambda t: _pack(t, k), _PACKED), "packed", batch_rows=BLOCK_SETS)
+        side = lambda df, p: df.select("leader", *[F.col(c).alias(f"{p}_{c}") for c in ("rest", "block", "ids", "comps", "bounds", "hashes")])
+        tiles = side(packed.where("rest"), "x").join(side(packed, "y"), "leader").where("NOT y_rest OR y_block >= x_block")
+        return s.save(tiles.mapInArrow(_tile_links, "a long, b long"), "joined", batch_rows=4)
 
     def verify(self, pairs: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
         """a, b, linked of the pairs, by their whole sets."""
@@ -385,16 +476,9 @@ class JaccardJoin:
         linked = done.where("linked").unionByName(done2.where("linked"))
         self._comp = components(s, linked, "cc2")
         # Large groups were only compared with their smallest member.
-        m = comp(members.withColumnRenamed("id", "a"), "a")
-        open_keys = m.groupBy("key").agg(F.min("ca").alias("x"), F.max("ca").alias("y")).where("x <> y").select("key")
-        m = s.save(m.join(open_keys, "key", "left_semi"), "open")
-        x, y = m.where("probes").select("key", "a", "ca", "n"), m.where("indexed").select("key", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("n").alias("nb"))
-        more = x.join(y, "key").where("ca <> cb AND 4 * least(n, nb) >= 3 * greatest(n, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = more.join(done.unionByName(done2), ["a", "b"], "left_anti")
-        done3 = self.verify(more, texts, "verified-3")
-        if done3.where("linked").limit(1).count():
-            linked = linked.unionByName(done3.where("linked"))
-            self._comp = components(s, linked, "cc3")
+        more = self.open_groups(members)
+        linked = linked.select("a", "b").unionByName(more)
+        self._comp = components(s, linked, "cc3")
         return self._comp, linked.select("a", "b")
 
     def result(self) -> DataFrame:

@@ -78,3 +78,12 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(2, 30)] + [(500, 501), (501, 502), (502, 500), (7, 7)]
     got = {r.node: r.comp for r in graph_components(Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {**{k: 100 for k in range(100, 161)}, **{k: 1 for k in range(1, 30)}, **{k: 500 for k in (500, 501, 502)}}
+
+
+def test_tiles_count_all_intersections(monkeypatch):
+    monkeypatch.setattr(jj, "TILE_SHINGLES", 7)
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        sets = [[np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(rng.integers(1, 6))] for _ in range(2)]
+        flat = [(np.concatenate(x), np.concatenate([[0], np.cumsum([len(y) for y in x])])) for x in sets]
+        assert jj.common_counts(*flat[0], *flat[1]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[1]] for a in sets[0]]
