@@ -45,12 +45,16 @@ def place_greedily(disks: list[tuple[int, int, int]], wanted: list[tuple[int, in
 
 def greedy_placement(extents: DataFrame, disks: DataFrame, key: str = "file_id") -> DataFrame:
     """extent_no, disk_id: every file placed against the same free disks. The choice depends on the file's earlier extents,
-    so it is a fold per file; files are independent requests. The eligible disks are a dimension of bounded size."""
-    ready = [(r.disk_id, 0, r.free) for r in disks.where("role = 'data' AND lower(health) = 'online' AND free > 0").select("disk_id", "free").orderBy("disk_id").limit(4096).collect()]
+    so it is a fold per file; files are independent requests. A disk without extents comes before all others and is in no
+    group yet, so a file of n extents uses the first n disks by free bytes and id at most, and no other disk is kept.
+    """
+    most = extents.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    eligible = disks.where("role = 'data' AND lower(health) = 'online' AND free > 0").select("disk_id", "free")
+    ready = [(r.disk_id, 0, r.free) for r in eligible.orderBy(F.desc("free"), "disk_id").limit(most).collect()]
 
     def fold(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("extent_no", "pg", "length"))))
-        placed = place_greedily(ready, rows)
+        placed = place_greedily(ready[: len(rows)], rows)
         return pa.table({"extent_no": [e for e, _ in placed], "disk_id": [d for _, d in placed]})
 
     return extents.select(key, "extent_no", "pg", "length").groupBy(key).applyInArrow(fold, "extent_no long, disk_id long")

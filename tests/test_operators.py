@@ -60,6 +60,20 @@ def test_greedy_placement_prefers_new_disks_then_load_then_room():
         placement.place_greedily([(1, 0, 5)], [(1, 1, 10)])
 
 
+def test_greedy_placement_sees_every_disk(spark):
+    """More than 4096 eligible disks, whose free bytes grow with the id; and fewer disks than a file has extents."""
+    rnd, extents = random.Random(3), []
+    for file in range(6):
+        extents += [(file, file * 1000 + n, file * 1000 + n // 3, rnd.randrange(1, 50)) for n in range(rnd.randrange(1, 18))]
+    x = spark.createDataFrame(extents, "file_id long, extent_no long, pg long, length long")
+    for count in (8000, 4):
+        every = [(d, "parity" if d % 10 == 0 else "data", "failed" if d % 11 == 0 else "Online", (1000 + d // 2) * (d % 5)) for d in range(1, count + 1)]
+        ready = [(d, 0, free) for d, role, health, free in every if role == "data" and health == "Online" and free > 0]
+        want = [placed for file in range(6) for placed in placement.place_greedily(ready, [e[1:] for e in extents if e[0] == file])]
+        d = spark.createDataFrame(every, "disk_id long, role string, health string, free long").repartition(3)
+        assert sorted((r.extent_no, r.disk_id) for r in placement.greedy_placement(x, d).collect()) == sorted(want)
+
+
 def test_strict_mode_sees_two_lost_data_disks(spark):
     x = spark.createDataFrame([(1, 7, 1, 10, False), (2, 7, 2, 10, False), (3, 7, 3, 10, True)], "extent_no long, pg long, data_disk long, length long, present boolean")
     g = spark.createDataFrame([(7, 9, True)], "pg long, parity_disk long, present boolean")
