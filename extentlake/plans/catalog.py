@@ -107,6 +107,10 @@ def _(p):
     return rollup.quorum(p.disks())
 
 
+#: Runs that a pool's history keeps, as in the reference (maxScrubHistory).
+SCRUB_HISTORY = 32
+
+
 @query("agg28_scrub_history", "", """
 SELECT o_orderkey AS run_id, o_custkey AS pool, CASE WHEN o_orderstatus = 'P' THEN 'in_progress' ELSE 'completed' END AS status, CAST(k AS BIGINT) AS k FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k <= 4""")
@@ -114,7 +118,7 @@ def _(p):
     from pyspark.sql import Window as W
 
     # A rank limit per pool: Spark keeps the newest runs in every task before the shuffle.
-    o = p.table("orders").withColumn("k", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))).where("k <= 4")
+    o = p.table("orders").withColumn("k", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))).where(F.col("k") <= SCRUB_HISTORY)
     return o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("pool"), F.when(F.col("o_orderstatus") == "P", "in_progress").otherwise("completed").alias("status"), F.col("k").cast("long").alias("k"))
 
 

@@ -1,5 +1,6 @@
 """Operators on small hand-made frames."""
 
+import datetime
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from extentlake.functions import columns as C
 from extentlake.operators import checks, mutations, namespace, placement, recovery, wal, xor
+from extentlake.plans import catalog, catalog_more  # noqa: F401
 from extentlake.streaming import state
 
 
@@ -164,3 +166,11 @@ def test_columns(spark):
         C.bucket_index(F.lit(1000)).alias("bucket"), C.file_type(F.lit(0o120777)).alias("kind"), C.smart_attribute(F.lit('"id":5,"name":"a","value":7'), 5).alias("smart"),
     ).first()
     assert tuple(row) == ("pg-1234567", "d___k", "_", 1, "symlink", 7)
+
+
+def test_scrub_history_keeps_the_newest_32_runs_of_a_pool(spark, tmp_path):
+    rows = [(pool * 100 + n, pool, "P" if n % 3 == 0 else "F", datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n // 2)) for pool, runs in ((1, 40), (2, 32), (3, 5)) for n in range(runs)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.pool, r.k): (r.run_id, r.status) for r in catalog.QUERIES["agg28_scrub_history"](spark, str(tmp_path)).collect()}
+    newest = {pool: sorted((r for r in rows if r[1] == pool), key=lambda r: (r[3], r[0]), reverse=True)[:32] for pool in (1, 2, 3)}
+    assert got == {(pool, k): (r[0], "in_progress" if r[2] == "P" else "completed") for pool, runs in newest.items() for k, r in enumerate(runs, 1)}
