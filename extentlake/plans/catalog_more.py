@@ -32,8 +32,7 @@ def _(p):
 
 @query("fil14_affected_ids", "ext", "SELECT file_id, string_agg(CAST(extent_no AS VARCHAR), ',' ORDER BY extent_no) AS ids FROM ext WHERE file_id % 20 = 0 GROUP BY file_id")
 def _(p):
-    x = p.extents().where("file_id % 20 = 0")
-    return x.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("extent_no")), lambda v: v.cast("string")), ",").alias("ids"))
+    return p.extents().groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("extent_no")), lambda v: v.cast("string")), ",").alias("ids"))
 
 
 @query("fil15_write_requests", "", """SELECT o_orderkey AS request, CASE WHEN o_orderkey % 11 = 0 THEN 'path required' WHEN o_orderkey % 13 = 0 THEN 'negative size' WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 THEN 'payload required' WHEN o_orderkey % 17 = 0 THEN 'unsupported codec' END AS error FROM orders""")

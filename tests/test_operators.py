@@ -174,3 +174,11 @@ def test_scrub_history_keeps_the_newest_32_runs_of_a_pool(spark, tmp_path):
     got = {(r.pool, r.k): (r.run_id, r.status) for r in catalog.QUERIES["agg28_scrub_history"](spark, str(tmp_path)).collect()}
     newest = {pool: sorted((r for r in rows if r[1] == pool), key=lambda r: (r[3], r[0]), reverse=True)[:32] for pool in (1, 2, 3)}
     assert got == {(pool, k): (r[0], "in_progress" if r[2] == "P" else "completed") for pool, runs in newest.items() for k, r in enumerate(runs, 1)}
+
+
+def test_affected_ids_of_every_file(spark, tmp_path):
+    lines = [(file, n, 1, 1, float(n), 1.0, 0.0, 0.0, "N", "O", datetime.datetime(2024, 1, 1)) for file in range(1, 26) for n in range(1, file % 4 + 2)]
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.file_id: r.ids for r in catalog.QUERIES["fil14_affected_ids"](spark, str(tmp_path)).collect()}
+    assert got == {file: ",".join(str(file * 1000 + n) for n in range(1, file % 4 + 2)) for file in range(1, 26)}
