@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,17 +64,42 @@ def greedy_placement(extents: DataFrame, disks: DataFrame, key: str = "file_id")
     return extents.select(key, "extent_no", "pg", "length").groupBy(key).applyInArrow(fold, "extent_no long, disk_id long")
 
 
+def least_loaded(disks: list[tuple[int, int, int]], lengths: Iterable[int]) -> Iterator[int | None]:
+    """For each length in order the disk of the fewest extents, then most free bytes, smallest id, among those with
+    ``free >= length``; None if there is none. A move raises its disk's count. disks: (id, extents, free)."""
+    queue = [(n, -free, d) for d, n, free in disks]
+    heapq.heapify(queue)
+    for length in lengths:
+        full = []
+        while queue and -queue[0][1] < length:
+            full.append(heapq.heappop(queue))
+        if queue:
+            n, free, d = queue[0]
+            heapq.heapreplace(queue, (n + 1, free, d))
+        yield d if queue else None
+        for x in full:
+            heapq.heappush(queue, x)
+
+
 def relocate(extents: DataFrame, disks: DataFrame, excluded: int) -> DataFrame:
-    """extent_no, new_disk of the excluded disk's extents: round robin over the online data disks, emptiest first.
+    """extent_no, new_disk of the excluded disk's extents: one after the other by extent_no to the least loaded online data
+    disk with room (``least_loaded``); null where no disk has room. As in the reference, moves don't lower free bytes.
 
-    Ranks are taken per file and combined by arithmetic, so that no global order is needed.
+    Each choice depends on all before it, so the excluded disk's extents stream through one task in order; its state is one
+    count a disk. The online data disks are a dimension of bounded size.
     """
-    from pyspark.sql import Window as W
-
     load = extents.groupBy(F.col("data_disk").alias("disk_id")).agg(F.count("*").alias("load"))
     ready = disks.where((F.col("role") == "data") & (F.col("health") == "online") & (F.col("disk_id") != excluded)).join(load, "disk_id", "left").na.fill(0, ["load"])
-    ranked = ready.withColumn("rank", F.row_number().over(W.orderBy("load", F.desc("free"), "disk_id")) - 1).withColumn("of", F.count("*").over(W.partitionBy()))
-    moved = extents.where(F.col("data_disk") == excluded)
-    of = ready.agg(F.count("*").alias("of"))
-    moved = moved.join(F.broadcast(of), F.lit(True)).withColumn("rank", F.col("extent_no") % F.col("of"))
-    return moved.join(F.broadcast(ranked.select(F.col("disk_id").alias("new_disk"), "rank")), "rank").select("extent_no", "new_disk")
+    ready = [(r.disk_id, r.load, r.free) for r in ready.select("disk_id", "load", "free").collect()]
+    if not ready:
+        raise ValueError("no online data disks remain")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: deque[int] = deque()
+        chosen = least_loaded(ready, iter(sizes.popleft, None))
+        for batch in batches:
+            sizes.extend(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([next(chosen) for _ in range(batch.num_rows)], pa.int64())], ["extent_no", "new_disk"])
+
+    moved = extents.where(F.col("data_disk") == excluded).select(F.col("extent_no").cast("long"), "length")
+    return moved.repartition(1).sortWithinPartitions("extent_no").mapInArrow(fold, "extent_no long, new_disk long")

@@ -76,6 +76,28 @@ def test_greedy_placement_sees_every_disk(spark):
         assert sorted((r.extent_no, r.disk_id) for r in placement.greedy_placement(x, d).collect()) == sorted(want)
 
 
+def test_relocation_goes_to_the_least_loaded_disk_with_room(spark):
+    """Uneven loads, a disk without room, one with room for short extents only, and an extent that fits nowhere."""
+    rnd = random.Random(5)
+    disks = [(1, "data", "online", 90), (2, "data", "online", 0), (3, "data", "online", 30), (4, "data", "online", 90), (5, "data", "online", 900), (6, "data", "failed", 900), (7, "parity", "online", 900)]
+    held = {1: 20, 3: 2, 4: 9, 5: 60}
+    owners = [d for d, n in held.items() for _ in range(n)]
+    rnd.shuffle(owners)
+    extents = [(n, d, 100 if n == 40 else rnd.randrange(1, 60)) for n, d in enumerate(owners)]
+    extents[40] = (40, 5, 100)
+    load, want = {d: sum(e[1] == d for e in extents) for d in (1, 2, 3, 4)}, {}
+    free = {d: f for d, _, _, f in disks}
+    for n, d, length in extents:
+        if d == 5:
+            fits = [c for c in load if free[c] >= length]
+            want[n] = min(fits, key=lambda c: (load[c], -free[c], c)) if fits else None
+            if fits:
+                load[want[n]] += 1
+    x = spark.createDataFrame(extents, "extent_no long, data_disk long, length long").repartition(3)
+    got = {r.extent_no: r.new_disk for r in placement.relocate(x, spark.createDataFrame(disks, "disk_id long, role string, health string, free long"), 5).collect()}
+    assert got == want and {1, 3, 4, None} == set(got.values())
+
+
 def test_strict_mode_sees_two_lost_data_disks(spark):
     x = spark.createDataFrame([(1, 7, 1, 10, False), (2, 7, 2, 10, False), (3, 7, 3, 10, True)], "extent_no long, pg long, data_disk long, length long, present boolean")
     g = spark.createDataFrame([(7, 9, True)], "pg long, parity_disk long, present boolean")
