@@ -204,3 +204,9 @@ def test_affected_ids_of_every_file(spark, tmp_path):
     spark.createDataFrame(lines, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.file_id: r.ids for r in catalog.QUERIES["fil14_affected_ids"](spark, str(tmp_path)).collect()}
     assert got == {file: ",".join(str(file * 1000 + n) for n in range(1, file % 4 + 2)) for file in range(1, 26)}
+
+
+def test_admission_counts_every_open_transaction(spark, tmp_path):
+    spark.createDataFrame([(tx, "O" if tx < 4 else "F") for tx in range(1, 8)], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(11,), (12,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["wal10_admission"](spark, str(tmp_path)).collect()] == [("refuse", 3)]
