@@ -41,7 +41,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold half or more of a benchmark item's words in runs of five and more."""
+    """Drop documents that hold half or more of a benchmark item's words in runs of three and more."""
     docs = docs.select(COLUMNS)
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     found = Scratch(spark, "contaminated").save(found, "found")

@@ -36,6 +36,18 @@ def test_empty_sides(spark, limit):
     assert run(spark, [], [(1, "a b c d e f")], broadcast_bytes=limit) == [] and run(spark, [(1, "a b c d e f")], [], broadcast_bytes=limit) == []
 
 
+@pytest.mark.parametrize("limit", [10**7, 0])
+def test_reordered_item_of_short_sentences(spark, limit):
+    """Sentences of 3, 2, 4 and 7 words, taken apart: only the last holds five words in a row. An item of four words."""
+    rnd = random.Random(6)
+    item = [words(rnd, n) for n in (3, 2, 4, 7)]
+    apart = " ".join(" ".join([*words(rnd, 6), *s]) for s in reversed(item))
+    short = " ".join(words(rnd, 4))
+    items = [(10, ". ".join(" ".join(s) for s in item)), (11, short)]
+    got = run(spark, [(1, apart), (2, " ".join(words(rnd, 60))), (3, f"a {short} b"), (4, " ".join(item[3]))], items, broadcast_bytes=limit)
+    assert got == [(1, 10, 16, 14, 3, 7), (3, 11, 4, 4, 1, 4)]
+
+
 def brute_tiles(a, b, k):
     ma, mb, out = [False] * len(a), [False] * len(b), []
     while True:
