@@ -1,7 +1,8 @@
 import gzip
 import hashlib
+import io
 
-from extentlake.llm.warc import parse_records, read_archives, round_trip, write_archives
+from extentlake.llm.warc import parse_records, read_archives, repeated_payloads, round_trip, write_archives
 
 SCHEMA = "page_id long, url string, html string, digest string, n int"
 
@@ -27,10 +28,32 @@ def test_archives_are_whole_records(spark, tmp_path):
     write_archives(df, f"{tmp_path}/w")
     data = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("*.gz")))
     assert data.count(b"WARC-Type: revisit") == 1 and data.count(b"x" * 2000) == 1
-    assert {r[0] for r in parse_records(data)} == {1, 2}
+    assert {r[0] for r in parse_records(io.BytesIO(data))} == {1, 2}
     assert read_archives(spark, f"{tmp_path}/w").count() == 2
 
 
+def test_headers_alone_are_shuffled(spark, tmp_path):
+    """The plan that writes the archives has no exchange of payloads; beyond the size bound the join gives the same rows."""
+    pages = [(k, "u", f"{k % 5}" * (900 + 40 * (k % 5)), "", 0) for k in range(60)]
+    df = spark.createDataFrame(pages, SCHEMA)
+    plan = repeated_payloads(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(digest" in plan
+    got = []
+    for limit in (10**7, -1):
+        write_archives(df, f"{tmp_path}/w{limit}", broadcast_bytes=limit)
+        got.append(sorted(map(tuple, read_archives(spark, f"{tmp_path}/w{limit}").collect()), key=str))
+    assert got[0] == got[1] and len(got[0]) == 60
+    assert sum(r[2] == "revisit" for r in got[0]) == 2 * 11
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "x" * 2000, "", 0), (1, "u", "y", "", 0), (1, "v", "z" * 1500, "", 0), (2, "u", "x" * 2000, "", 0), (None, None, None, "", 0)], SCHEMA)
+    write_archives(df, f"{tmp_path}/w")
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("*.gz")))
+    ids = [x for x in data.split(b"\r\n") if x.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == 5 and sum(x == b"WARC-Refers-To: <urn:x-page:2>" for x in data.split(b"\r\n")) == 1
+
+
 def test_repeated_rows_and_empty(spark):
     got = run(spark, [(1, "u", "z" * 1500), (1, "u", "z" * 1500), (0, "u", "z" * 1500)])
     assert [(g[0], g[3], g[4]) for g in got] == [(0, "revisit", 1), (1, "response", None), (1, "response", None)]
