@@ -3,12 +3,13 @@
 The network reads windows of a text's UTF-8 bytes in both directions, gives every byte position a distribution over the
 languages, and a document's distribution is the mean over all of its positions. It is trained in numpy by
 backpropagation through time on a bounded sample of labelled documents; scoring covers every byte of every text.
+
+One label more than there are languages stands for none of them. It is learnt from noise made by a rule (random letters,
+symbols and bytes), so a document's probability of it says whether the text is in any language that was learnt.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +21,14 @@ from ._words import string_slices
 
 #: Bound of the training sample: documents (those of smallest hashed id), and characters in all from each of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 768
+#: At most so many languages are learnt, the most frequent ones.
+MAX_LANGUAGES = 400
+#: Windows of noise for each language's mean number of windows.
+NOISE = 1.0
 WINDOW, HIDDEN = 64, 8
 EPOCHS, BATCH, RATE = 5, 256, 0.02
 UNKNOWN = "und"
-
-_LETTER = re.compile(r"[^\W\d_]")
+NOTHING = "no language"
 
 
 def _sigmoid(x):
@@ -177,6 +181,22 @@ def training_windows(rows: list[tuple[str, str]], labels: list[str], window: int
     return np.array(x, np.int16).reshape(-1, window), np.array(y, np.int64)
 
 
+def noise_windows(n: int, seed: int = 23, window: int = WINDOW) -> np.ndarray:
+    """Windows of random text: words of letters that are equally likely, of symbols, and of bytes of other scripts; some end
+    early. Digits are left out: telephone numbers and the like stand in clean documents of every language."""
+    rng = np.random.default_rng(seed)
+    kinds = [np.arange(97, 123), np.array([*range(33, 48), *range(58, 65), *range(91, 97)]), np.arange(128, 256)]
+    x = np.empty((n, window), np.int16)
+    for i in range(n):
+        x[i] = rng.choice(kinds[i % len(kinds)], window)
+        x[i, rng.random(window) < rng.uniform(0.05, 0.3)] = 32
+        if rng.random() < 0.3:
+            x[i, rng.integers(4, window) :] = 256
+        if i % len(kinds) == 0 and rng.random() < 0.5:
+            x[i, 0] -= 32
+    return x
+
+
 def held_out() -> Column:
     """crc32 of the id as text, modulo 4, is 2; such documents are never learnt from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -184,50 +204,60 @@ def held_out() -> Column:
 
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, epochs: int = EPOCHS) -> ByteTagger | None:
     """Fit on at most ``sample_docs`` documents, of each at most ``sample_chars`` characters in three runs from its start,
-    middle and end; documents with a null text or language or a held-out id are no candidates. None without any candidate."""
+    middle and end; documents with a null text or language or a held-out id are no candidates. None without any candidate.
+
+    The sample depends on the rows alone: rows that repeat an id are told apart by their texts, equal rows count once.
+    """
     usable = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labels = sorted(r[0] for r in usable.select("lang").distinct().collect())
+    top = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    labels = sorted(r[0] for r in top.select("lang").collect())
     if not labels:
         return None
+    usable = usable.where(F.col("lang").isin(labels)).withColumn("key", F.xxhash64("doc_id", "text", "lang"))
     # An even share for each language, of smallest hashed ids; the limit is applied in every task before the shuffle.
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id")
-    ranked = usable.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(1, sample_docs // len(labels)))
-    ids = {r[0] for r in ranked.select("doc_id").limit(sample_docs).collect()}
+    share = max(1, sample_docs // len(labels))
+    order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "key")
+    ranked = usable.select("lang", "doc_id", "key").withColumn("k", F.rank().over(order)).where(F.col("k") <= share)
+    keys = sorted({r[0] for r in ranked.select("key").distinct().collect()})
     run, n = sample_chars // 3, F.length("text")
     part = F.concat_ws(" ", *[F.substring(F.col("text"), (1 + F.greatest(n - run, F.lit(0)) * f).cast("int"), F.lit(run)) for f in (0.0, 0.5, 1.0)])
-    rows = usable.where(F.col("doc_id").isin(sorted(i for i in ids if i is not None))).select(F.when(n > sample_chars, part).otherwise(F.col("text")), "lang").limit(2 * sample_docs).collect()
+    some = usable.where(F.col("key").isin(keys)).select("key", F.when(n > sample_chars, part).otherwise(F.col("text")).alias("part"), "lang")
+    rows = some.groupBy("key").agg(F.min(F.struct("part", "lang")).alias("row")).orderBy("key").select("row.part", "row.lang").collect()
     x, y = training_windows([tuple(r) for r in rows], labels)
-    model = ByteTagger(labels)
-    model.fit(x, y, epochs)
+    noise = noise_windows(int(NOISE * len(x) / len(labels)) + 1)
+    model = ByteTagger([*labels, NOTHING])
+    model.fit(np.concatenate([x, noise]), np.concatenate([y, np.full(len(noise), len(labels))]), epochs)
     return model
 
 
 def _predict(batches, model: ByteTagger | None):
     for batch in batches:
-        texts = batch.column(1)
-        known = [t is not None and bool(_LETTER.search(t)) for t in texts.to_pylist()]
-        lang, score = [UNKNOWN] * len(known), np.zeros(len(known))
+        known = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        lang, score, other = np.full(len(known), UNKNOWN, object), np.zeros(len(known)), np.zeros(len(known))
         if model:
-            for row, end, data, offsets in string_slices(texts):
+            names = np.array(model.labels[:-1], object)
+            for row, end, data, offsets in string_slices(batch.column(1)):
                 p = model.score(data, offsets)
-                best = p.argmax(1)
-                for i in range(row, end):
-                    if known[i]:
-                        lang[i], score[i] = model.labels[best[i - row]], min(1.0, p[i - row, best[i - row]])
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(k) for k in range(2, batch.num_columns)], pa.array(lang), pa.array(score)], [*batch.schema.names[:1], *batch.schema.names[2:], "lang_pred", "score"])
+                best = p[:, :-1].argmax(1)
+                lang[row:end], score[row:end], other[row:end] = names[best], np.minimum(1, p[np.arange(end - row), best]), np.minimum(1, p[:, -1])
+            lang[~known], score[~known], other[~known] = UNKNOWN, 0, 0
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(k) for k in range(3, batch.num_columns)], pa.array(lang, pa.string()), pa.array(score), pa.array(other)], [*batch.schema.names[:1], *batch.schema.names[3:], "lang_pred", "score", "no_language"])
 
 
 def identify(documents: DataFrame, model: ByteTagger | None, carry: list[str] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; and the columns of ``carry``, unchanged.
+    """doc_id, held_out, lang_pred, score, no_language of every row; and the columns of ``carry``, unchanged. score is the
+    mean probability of the best language over all positions, no_language that of none.
 
-    A null text, or one without any letter, is ``und`` with score 0, as is everything without a model (no labelled row).
-    Ties between languages go to the first in alphabetical order; a null id counts as not held out; repeated rows give
-    repeated results. Text, and nothing else, is read for the prediction; an empty table gives an empty result.
+    A null text, or one without any letter (Unicode's category L), is ``und`` with score 0, as is everything without a model
+    (no labelled row). Ties between languages go to the first in alphabetical order; a null id counts as not held out;
+    repeated rows give repeated results. Text, and nothing else, is read for the prediction; an empty table gives an empty
+    result.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out().alias("held_out"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), letter.alias("letter"), held_out().alias("held_out"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
     types = "".join(f", _{k} {documents.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
-    out = rows.mapInArrow(lambda b: _predict(b, model), f"doc_id long, held_out boolean{types}, lang_pred string, score double")
-    return out.select("doc_id", "held_out", "lang_pred", "score", *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])
+    out = rows.mapInArrow(lambda b: _predict(b, model), f"doc_id long, held_out boolean{types}, lang_pred string, score double, no_language double")
+    return out.select("doc_id", "held_out", "lang_pred", "score", "no_language", *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,31 @@ def test_the_label_of_a_row_is_no_input(spark):
     assert a == b
 
 
+def test_letters_are_those_of_unicode(spark):
+    """Characters for numbers are no letters."""
+    rows = corpus(60) + [(k, t, None, "x") for k, t in ((901, "½ ²"), (902, "Ⅷ ①"), (903, "Ⅷ a"), (904, "ß"), (905, "字"), (906, "_ 1"))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in identify(docs, train(docs, sample_docs=30, epochs=1)).collect()}
+    assert [got[k] == UNKNOWN for k in range(901, 907)] == [True, True, False, False, False, True]
+
+
+def test_the_sample_is_the_same_for_rows_in_any_order(spark):
+    rows = corpus(90)
+    rows = [(d % 7, t, lang, p) for d, t, lang, p in rows] + rows[:5]
+    a, b = (train(spark.createDataFrame(x, SCHEMA).repartition(n), sample_docs=30, epochs=1) for x, n in ((rows, 2), (rows[::-1], 5)))
+    assert all((p == q).all() for p, q in zip(a.params(), b.params()))
+
+
+def test_noise_is_no_language(spark):
+    rnd = random.Random(5)
+    junk = lambda: " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 9))) for _ in range(30))
+    rows = corpus(600) + [(7000 + k, junk(), None, "x") for k in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in identify(docs, train(docs, sample_docs=300, epochs=6)).collect()}
+    assert np.mean([got[7000 + k].no_language > got[7000 + k].score for k in range(20)]) > 0.9
+    assert np.mean([got[k].no_language > got[k].score for k in range(600)]) < 0.01
+
+
 def test_windows_cover_every_byte():
     x, y = training_windows([("a" * 100, "p"), ("b", "q")], ["p", "q"], window=64)
     assert (x < 256).sum() == 101 and list(y) == [0, 0, 1]
