@@ -7,13 +7,38 @@ a bounded chunk of keys and sends one block per bucket: the keys as differences
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
+#: Bytes of text whose keys make one bucket; a bucket is loaded by one call.
+BUCKET_TEXT_BYTES = 4 << 20
+#: Map tasks deal into at most so many buckets at once; beyond, a second shuffle splits each into the final ones.
+FIRST_BUCKETS = 4096
 
 
-def bucket_count(spark) -> int:
-    """Two per shuffle partition, so that hashing buckets to partitions stays even."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(texts: DataFrame, column: str = "text") -> int:
+    """By the texts' bytes, so that a bucket doesn't grow with the data; at least two per shuffle partition, so that hashing
+    buckets to partitions stays even."""
+    size = texts.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+    return max(2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_TEXT_BYTES))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key; ascending keys have ascending buckets."""
+    return ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def dealt(blocks: DataFrame, buckets: int, resplit) -> DataFrame:
+    """``blocks`` in their final buckets. Map tasks deal into ``first_buckets``; where that is fewer, ``resplit`` gets each
+    first bucket's blocks as a stream, in bounded chunks, and deals them once more."""
+    if buckets <= FIRST_BUCKETS:
+        return blocks
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resplit, blocks.schema)
+
+
+def first_buckets(buckets: int) -> int:
+    return min(buckets, FIRST_BUCKETS)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -39,10 +64,11 @@ def unpack_keys(data: bytes) -> np.ndarray:
         return np.cumsum(out, dtype=U)
 
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """keys[cuts[b]:cuts[b + 1]] of ascending keys belong to bucket b."""
-    edges = (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(U)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """(bucket, place) of the buckets that ascending keys fall into."""
+    b = bucket_of(keys, buckets)
+    at = runs(b)
+    return [(int(b[s]), slice(s, e)) for s, e in zip(at[:-1], at[1:])]
 
 
 def runs(keys: np.ndarray) -> np.ndarray:

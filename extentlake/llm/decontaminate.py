@@ -3,12 +3,14 @@
 Documents and benchmark items that share a seed (a run of ``min_match`` words) are joined on the seed's rolling hash. For
 each such pair the longest common run of unmarked words is marked again and again, until none of ``min_match`` words is
 left; the tiles are found by Karp-Rabin hashes of the seeds, extended along their diagonals. The share of the item's words
-under tiles decides, so an item whose sentences were put in another order is caught as well.
+under tiles decides, so an item whose sentences were put in another order is caught as well. An item of fewer than
+``min_match`` words is found where it is all that a document says.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, table
-from ._words import Words, string_slices
+from ._common import Scratch, process_cache, table
+from ._words import Words, parts
 
 #: Short enough for the short sentences of a reordered item; the coverage decides.
 MIN_MATCH = 3
@@ -32,9 +34,36 @@ _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def _words(array) -> list[tuple[int, Words]]:
-    """(first row, words) of slices of the lower-cased texts."""
-    return ((row, Words(data, offsets, space=_BREAK)) for row, _, data, offsets in string_slices(pa.compute.utf8_lower(array)))
+class Text:
+    """Word hashes of a whole text, and (hash, place) of its windows of k words; a shorter text is one window."""
+
+    def __init__(self, words: np.ndarray, seeds: np.ndarray, at: np.ndarray):
+        self.words, self.seeds, self.at = words, seeds, at
+
+
+def _texts(array, k: int):
+    """(row, Text) of the lower-cased texts."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for p in parts(pa.compute.utf8_lower(array), k - 1, space=_BREAK):
+        w = p.words
+        at = w.window_starts(k)
+        h = w.window_hashes(at, k)
+        if held or not p.last:
+            before = sum(len(x[0]) for x in held) - p.skip
+            held.append((w.hashes[p.skip :], h, at + max(0, before)))
+            if p.last:
+                yield p.row, Text(*(np.concatenate(x) for x in zip(*held)))
+                held = []
+            continue
+        edge = np.searchsorted(at, w.bounds)
+        short = np.flatnonzero((w.counts > 0) & (w.counts < k))
+        whole = dict(zip(short.tolist(), w.whole_hashes(short)))
+        for i in range(p.end - p.row):
+            a, b = w.bounds[i], w.bounds[i + 1]
+            if i in whole:
+                yield p.row + i, Text(w.hashes[a:b], np.array([whole[i]]), np.zeros(1, np.int64))
+            else:
+                yield p.row + i, Text(w.hashes[a:b], h[edge[i] : edge[i + 1]], at[edge[i] : edge[i + 1]] - a)
 
 
 def tiles(item: np.ndarray, text: np.ndarray, starts_item: np.ndarray, starts_text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -48,7 +77,7 @@ def tiles(item: np.ndarray, text: np.ndarray, starts_item: np.ndarray, starts_te
     a, d = starts_item[order], diagonal[order]
     new = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(a) != 1)]) if len(a) else np.zeros(0, int)
     ends = np.r_[new[1:], len(a)] if len(a) else new
-    queue = [(-int(a[e - 1] - a[s] + min_match), int(a[s]), int(a[s] + d[s])) for s, e in zip(new, ends)]
+    queue = [(-int(a[e - 1] - a[s] + min(min_match, len(item))), int(a[s]), int(a[s] + d[s])) for s, e in zip(new, ends)]
     heapq.heapify(queue)
     marked_item, marked_text, out = np.zeros(len(item), bool), np.zeros(len(text), bool), []
     while queue:
@@ -70,103 +99,110 @@ class Seeds:
     """All seeds of the benchmark, sorted, behind a bit table that turns away nearly all other windows."""
 
     def __init__(self, items: list[tuple[int, str]], min_match: int):
-        self.k = min_match
-        self.ids, self.words, hashes, owner, place = [], [], [], [], []
-        for _, w in _words(pa.array([t for _, t in items], pa.large_string())):
-            at = w.window_starts(min_match)
-            hashes.append(w.window_hashes(at, min_match))
-            owner.append(w.docs[at] + len(self.words))
-            place.append(at - w.bounds[w.docs[at]])
-            self.words += [w.hashes[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:])]
-        self.ids = [i for i, _ in items]
-        h, o, p = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.uint64, hashes), (np.int64, owner), (np.int64, place)))
+        self.k, self.ids, self.words, seeds, place = min_match, [i for i, _ in items], [], [], []
+        for _, t in _texts(pa.array([t for _, t in items], pa.large_string()), min_match):
+            self.words.append(t.words)
+            seeds.append(t.seeds)
+            place.append(t.at)
+        owner = np.repeat(np.arange(len(seeds)), [len(h) for h in seeds])
+        h, p = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.uint64, seeds), (np.int64, place)))
         order = np.argsort(h, kind="stable")
-        self.hash, self.owner, self.place = h[order], o[order], p[order]
+        self.hash, self.owner, self.place = h[order], owner[order], p[order]
         self.bits = np.uint64(min(24, max(16, 4 + len(h).bit_length())))
         self.table = np.zeros(1 << int(self.bits), bool)
         self.table[self.hash >> (np.uint64(64) - self.bits)] = True
 
-    def find(self, w: Words):
-        """(document, item, covered words, tiles, longest) of pairs that share a seed."""
-        at = w.window_starts(self.k)
-        h = w.window_hashes(at, self.k)
-        near = self.table[h >> (np.uint64(64) - self.bits)]
-        at, h = at[near], h[near]
+    def find(self, t: Text):
+        """(item, covered words, tiles, longest) of the items that share a seed with the text."""
+        near = self.table[t.seeds >> (np.uint64(64) - self.bits)]
+        at, h = t.at[near], t.seeds[near]
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         n = hi - lo
         if not n.sum():
             return
         hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        doc, item, place = w.docs[at], self.owner[hit], self.place[hit]
-        order = np.lexsort((item, doc))
-        doc, item, place, at = doc[order], item[order], place[order], at[order]
-        cuts = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0), True])
+        at, item, place = np.repeat(at, n), self.owner[hit], self.place[hit]
+        order = np.argsort(item, kind="stable")
+        item, place, at = item[order], place[order], at[order]
+        cuts = np.flatnonzero(np.r_[True, np.diff(item) != 0, True])
         for a, b in zip(cuts[:-1], cuts[1:]):
-            first, last = w.bounds[doc[a]], w.bounds[doc[a] + 1]
-            got = tiles(self.words[item[a]], w.hashes[first:last], place[a:b], at[a:b] - first, self.k)
-            yield doc[a], item[a], sum(t[2] for t in got), len(got), got[0][2]
+            got = tiles(self.words[item[a]], t.words, place[a:b], at[a:b], self.k)
+            yield item[a], sum(x[2] for x in got), len(got), got[0][2]
 
 
-def _rows(rows) -> pa.RecordBatch:
+def _rows(rows, carried, batch) -> pa.RecordBatch:
+    """Found rows, with the carried columns of the batch's rows ``carried``."""
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], [f.split()[0] for f in _PAIRS.split(", ")])
+    own = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)]
+    more = [batch.column(k).take(pa.array(carried, pa.int64())) for k in range(4, batch.num_columns)]
+    return pa.RecordBatch.from_arrays([*own, *more], [*(f.split()[0] for f in _PAIRS.split(", ")), *batch.schema.names[4:]])
 
 
-def _scan(batches, seeds: Seeds, coverage: float):
+def _scan(batches, items, key: str, k: int, coverage: float):
+    """The seeds are built once for a worker."""
+    kept = process_cache()
+    if kept.get("seeds of", None) != key:
+        kept["seeds of"], kept["seeds"] = key, Seeds(items.value, k)
+    seeds = kept["seeds"]
     for batch in batches:
-        ids, rows = batch.column(0), []
-        for row, w in _words(batch.column(1)):
-            for doc, item, covered, count, longest in seeds.find(w):
+        ids, rows, carried = batch.column(0), [], []
+        for row, t in _texts(batch.column(1), k):
+            for item, covered, count, longest in seeds.find(t):
                 if covered >= coverage * len(seeds.words[item]):
-                    rows.append((ids[row + int(doc)].as_py(), seeds.ids[item], len(seeds.words[item]), covered, count, longest))
-        yield _rows(rows)
+                    rows.append((ids[row].as_py(), seeds.ids[item], len(seeds.words[item]), covered, count, longest))
+                    carried.append(row)
+        yield _rows(rows, carried, batch)
 
 
 def _seed_rows(batches, k: int):
     """(id, distinct seeds) rows for the join by shuffle."""
     for batch in batches:
-        for row, w in _words(batch.column(1)):
-            at = w.window_starts(k)
-            pair = np.unique(np.stack([w.docs[at], w.window_hashes(at, k).view(np.int64)], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[:, 0] + row)), pa.array(pair[:, 1])], ["id", "seed"])
+        for row, t in _texts(batch.column(1), k):
+            h = np.unique(t.seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), batch.column(0)[row].as_py(), np.int64)), pa.array(h.view(np.int64))], ["id", "seed"])
 
 
 def _tile_pairs(batches, k: int, coverage: float):
     for batch in batches:
-        rows = []
-        for doc_id, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns)):
+        rows, carried = [], []
+        for at, (doc_id, text, item_id, item) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
             seeds = Seeds([(item_id, item)], k)
-            for _, w in _words(pa.array([text], pa.large_string())):
-                for _, _, covered, count, longest in seeds.find(w):
+            for _, t in _texts(pa.array([text], pa.large_string()), k):
+                for _, covered, count, longest in seeds.find(t):
                     if covered >= coverage * len(seeds.words[0]):
                         rows.append((doc_id, item_id, len(seeds.words[0]), covered, count, longest))
-        yield _rows(rows)
+                        carried.append(at)
+        yield _rows(rows, carried, batch)
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES, carry: list[str] = ()) -> DataFrame:
     """doc_id, item_id, item_words, covered_words, tiles, longest_tile, coverage of each pair with at least ``coverage`` of
-    the item's words under tiles of ``min_match`` words or more.
+    the item's words under tiles of ``min_match`` words or more; and the documents' columns of ``carry``, unchanged.
 
-    Words are compared in lower case, without ASCII punctuation. Items of fewer than ``min_match`` words have no seed and
-    find nothing; null or empty texts hold no words; null ids are kept as nulls. Equal items are each reported; repeated
-    rows are reported once each. Other columns are not read. An empty table on either side gives an empty result.
+    Words are compared in lower case, without ASCII punctuation. An item of fewer than ``min_match`` words is found in the
+    documents that consist of it. Null or empty texts hold no words; null ids are kept as nulls. Equal items are each
+    reported; repeated rows are reported once each. Other columns are not read. An empty table on either side gives an
+    empty result.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    more = [f"_{k}" for k in range(len(carry))]
+    schema = _PAIRS + "".join(f", _{k} {documents.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more)])
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where(F.length("item") > 0)
     if (items.agg(F.sum(F.octet_length("item"))).first()[0] or 0) <= broadcast_bytes:
-        held = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
-        pairs = docs.mapInArrow(lambda b: _scan(b, Seeds(held.value, min_match), coverage), _PAIRS)
+        held, key = spark.sparkContext.broadcast([tuple(r) for r in items.collect()]), uuid.uuid4().hex
+        rows = docs.select("doc_id", "text", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("string").alias("item"), *more)
+        pairs = rows.mapInArrow(lambda b: _scan(b, held, key, min_match, coverage), schema)
     else:
         scratch = Scratch(spark, "decontaminate")
         of = lambda df, key: df.mapInArrow(lambda b: _seed_rows(b, min_match), "id long, seed long").withColumnRenamed("id", key)
         docs = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
         items = scratch.save(items.withColumn("_item", F.monotonically_increasing_id()), "items")
         both = of(docs.select("_row", "text"), "_row").join(of(items.select("_item", "item"), "_item"), "seed").select("_row", "_item").distinct()
-        both = both.join(docs, "_row").join(items, "_item").select("doc_id", "text", "item_id", "item")
-        pairs = both.mapInArrow(lambda b: _tile_pairs(b, min_match, coverage), _PAIRS)
-    return pairs.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
+        both = both.join(docs, "_row").join(items, "_item").select("doc_id", "text", "item_id", "item", *more)
+        pairs = both.mapInArrow(lambda b: _tile_pairs(b, min_match, coverage), schema)
+    pairs = pairs.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
+    return pairs.select(*[c for c in pairs.columns if c not in more], *[F.col(m).alias(c) for c, m in zip(carry, more)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ indexed too, and such a segment counts twice. Candidates are verified on whole s
 A large group of sets behind one segment hash is first compared with its smallest member alone. Groups that the links'
 components leave open are compared in tiles of two blocks of sets (their incidence matrices are multiplied), except within
 the group's largest component; a tile returns only links that join components, not pairs.
+
+Shingles have 64-bit hashes, equal sets 128-bit ones: two different shingles of one pair of sets are taken for one with a
+probability of about |x| |y| / 2^64.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._buckets import bucket_count, cuts, pack_keys, runs, unpack_keys
+from ._buckets import bucket_count, cuts, dealt, first_buckets, pack_keys, runs, unpack_keys
 from ._common import Scratch, table
 from ._graph import components
-from ._words import Words, mix, string_slices
+from ._words import mix, shingle_sets
 
 K = 5
 #: Segments per shingle at a band's upper size in the coarse and the fine partition, and at least so many.
@@ -59,14 +62,18 @@ def needed(n, b, low):
     return np.where(low, (n + np.minimum(n, 2**b)) // 7, 2 * n // 7) + 1
 
 
+def set_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each of the sets h[at[i]:at[i + 1]]."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([[U(0)], np.cumsum(mix(h + U(s)), dtype=U)]) for s in (1, 2)]
+        return tuple((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
+
+
 def _sets(batches, k: int):
     for batch in batches:
-        for row, end, data, offsets in string_slices(batch.column(1)):
-            h, at = Words(data, offsets, lower=True).shingles(k)
-            with np.errstate(over="ignore"):
-                sums = [np.concatenate([[U(0)], np.cumsum(mix(h + U(s)), dtype=U)]) for s in (1, 2)]
-                k1, k2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(np.diff(at)), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
+        for row, end, h, at in shingle_sets(batch.column(1), k):
+            k1, k2 = set_keys(h, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(2).slice(row, end - row), pa.array(np.diff(at)), pa.array(k1), pa.array(k2)], ["doc_id", "text_hash", "n", "k1", "k2"])
 
 
 class _Chunk:
@@ -90,11 +97,10 @@ class _Chunk:
         keys, entry, flags, entries = (np.concatenate(c) for c in (self.keys, self.entry, self.flags, self.entries))
         order = np.argsort(keys, kind="stable")
         keys, entry, flags = keys[order], entry[order], flags[order]
-        at, rows = cuts(keys, buckets), []
-        for b in np.flatnonzero(np.diff(at)):
-            s = slice(at[b], at[b + 1])
+        rows = []
+        for b, s in cuts(keys, buckets):
             own, e = np.unique(entry[s], return_inverse=True)
-            rows.append((int(b), pack_keys(keys[s]), e.astype("<u4" if len(own) > 65536 else "<u2").tobytes(), flags[s].tobytes(), entries[own].tobytes()))
+            rows.append((b, pack_keys(keys[s]), e.astype("<u4" if len(own) > 65536 else "<u2").tobytes(), flags[s].tobytes(), entries[own].tobytes()))
         self.__init__()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], ["bucket", "keys", "entry", "flags", "entries"])
 
@@ -131,15 +137,11 @@ def _role(h, at, ids, n, b, low, density):
 def _emit(batches, k: int, buckets: int, density: float):
     chunk = _Chunk()
     for batch in batches:
-        ids, k1 = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        for row, end, data, offsets in string_slices(batch.column(1)):
-            h, at = Words(data, offsets, lower=True).shingles(k)
+        ids = batch.column(0).to_numpy()
+        for row, end, h, at in shingle_sets(batch.column(1), k):
             n = np.diff(at)
-            with np.errstate(over="ignore"):
-                sums = np.concatenate([[U(0)], np.cumsum(mix(h + U(1)), dtype=U)])
-                same = (sums[at[1:]] - sums[at[:-1]]).view(np.int64) == k1[row:end]
             b = band(n)
-            for low, chosen in ((False, same & (n > 0)), (True, same & (b > 0) & (3 * n <= 4 * 2 ** np.maximum(b - 1, 0)))):
+            for low, chosen in ((False, n > 0), (True, (b > 0) & (3 * n <= 4 * 2 ** np.maximum(b - 1, 0)))):
                 which = np.flatnonzero(chosen)
                 if not len(which):
                     continue
@@ -151,6 +153,19 @@ def _emit(batches, k: int, buckets: int, density: float):
         yield chunk.blocks(buckets)
 
 
+def _resplit(batches, buckets: int):
+    """Blocks of the first buckets, dealt into the final ones."""
+    chunk = _Chunk()
+    for batch in batches:
+        for r in batch.to_pylist():
+            entries = np.frombuffer(r["entries"], _ENTRY)
+            chunk.add(unpack_keys(r["keys"]), np.frombuffer(r["entry"], "<u2" if len(entries) <= 65536 else "<u4").astype(np.int64), np.frombuffer(r["flags"], np.uint8), entries)
+            if chunk.full():
+                yield chunk.blocks(buckets)
+    if chunk.size:
+        yield chunk.blocks(buckets)
+
+
 def _read_blocks(t: pa.Table):
     """keys (ascending), flags, entry numbers and entries of a bucket's blocks; only keys that occur more than once."""
     rows = list(zip(*(t.column(c).to_pylist() for c in ("keys", "entry", "flags", "entries"))))
@@ -330,8 +345,7 @@ _PACKED = "leader long, rest boolean, block long, ids binary, comps binary, boun
 def _pack(t: pa.Table, k: int) -> pa.Table:
     """The sets of one block in one row."""
     hashes, size = [], []
-    for _, _, data, offsets in string_slices(t.column("text")):
-        h, at = Words(data, offsets, lower=True).shingles(k)
+    for _, _, h, at in shingle_sets(t.column("text"), k):
         hashes.append(h)
         size.append(np.diff(at))
     bounds = np.concatenate([[0], np.cumsum(np.concatenate(size))])
@@ -392,8 +406,7 @@ def _similar(batches, k: int, num: int, den: int):
         sides = []
         for c in (2, 3):
             out = []
-            for _, _, data, offsets in string_slices(batch.column(c)):
-                h, at = Words(data, offsets, lower=True).shingles(k)
+            for _, _, h, at in shingle_sets(batch.column(c), k):
                 out += [h[a:b] for a, b in zip(at[:-1], at[1:])]
             sides.append(out)
         both = np.array([len(np.intersect1d(x, y, True)) for x, y in zip(*sides)], np.int64)
@@ -408,28 +421,34 @@ class JaccardJoin:
     def __init__(self, documents: DataFrame, k: int = K):
         self.k, self.spark = k, documents.sparkSession
         self.scratch = Scratch(self.spark, "jaccard")
-        self.docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+        self.docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_hash"))
         s = self.scratch
-        #: One row per document; equal sets are one class, led by its smallest id.
-        self.sets = s.save(self.docs.mapInArrow(lambda b: _sets(b, k), "doc_id long, n long, k1 long, k2 long"), "sets")
+        #: One row per document.
+        self.sets = s.save(self.docs.mapInArrow(lambda b: _sets(b, k), "doc_id long, text_hash long, n long, k1 long, k2 long"), "sets")
         known = self.sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-        self.classes = s.save(known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+        #: Equal sets are one class with a number of its own; its leader is the row of smallest id (and text hash).
+        led = known.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("led"))
+        self.classes = s.save(led.select("n", "k1", "k2", F.col("led.doc_id").alias("rep"), F.col("led.text_hash").alias("text_hash"), F.monotonically_increasing_id().alias("class")), "classes")
+
+    def texts(self, classes: DataFrame | None = None) -> DataFrame:
+        """doc_id (the class's number), text of the leaders of the classes, or of those that are rows of ``classes``.
 
-    def texts(self, ids: DataFrame) -> DataFrame:
-        """doc_id, text, k1 of the classes whose leaders are the rows of ``ids``."""
-        own = self.classes.groupBy("rep").agg(F.min(F.struct("n", "k1", "k2")).alias("own")).select(F.col("rep").alias("doc_id"), F.col("own.k1").alias("k1"))
-        return self.docs.join(own.join(ids, "doc_id", "left_semi"), "doc_id").select("doc_id", "text", "k1")
+        Leaders are found by id and text hash: an id that repeats with different texts leads several classes. A repeated row
+        is repeated here as well."""
+        own = self.classes if classes is None else self.classes.join(classes.select(F.col("doc_id").alias("class")), "class", "left_semi")
+        own = own.select(F.col("rep").alias("doc_id"), "text_hash", "class")
+        return self.docs.join(own, ["doc_id", "text_hash"]).select(F.col("class").alias("doc_id"), "text")
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """(pairs a, b, hits) and (leader, id) of the members of large groups, by their smallest members."""
-        s, k, buckets = self.scratch, self.k, bucket_count(self.spark)
-        reps = self.classes.select(F.col("rep").alias("doc_id")).distinct()
-        coarse = self.texts(reps).mapInArrow(lambda b: _emit(b, k, buckets, COARSE), _BLOCKS)
+        s, k, buckets = self.scratch, self.k, bucket_count(self.docs)
+        first, resplit = first_buckets(buckets), lambda b: _resplit(b, buckets)
+        coarse = dealt(self.texts().mapInArrow(lambda b: _emit(b, k, first, COARSE), _BLOCKS), buckets, resplit)
         counted = coarse.groupBy("bucket").applyInArrow(lambda t: _counted(t, buckets), _COUNTED)
         some = s.save(counted.groupBy("cls").applyInArrow(_may_link, "doc_id long"), "some")
         #: Texts of the sets that may have links.
-        self.held = s.save(self.texts(some), "held")
-        fine = self.held.mapInArrow(lambda b: _emit(b, k, buckets, FINE), _BLOCKS)
+        self.held = s.save(self.texts(some).dropDuplicates(["doc_id"]), "held")
+        fine = dealt(self.held.mapInArrow(lambda b: _emit(b, k, first, FINE), _BLOCKS), buckets, resplit)
         shared = fine.groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), _SHARED)
         chosen = shared.groupBy("cls").applyInArrow(lambda t: _select(t, buckets), _BLOCKS)
         found = s.save(chosen.groupBy("bucket").applyInArrow(_candidates, _FOUND), "found")
@@ -461,7 +480,8 @@ class JaccardJoin:
         return self.scratch.save(both.mapInArrow(lambda x: _similar(x, k, 3, 4), "a long, b long, linked boolean"), tag, batch_rows=500)
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """(rep, comp) of all classes that have links, and the verified links a-b that show it."""
+        """(node, comp) of all classes that have links, and verified links a-b between classes that show it: a spanning set, as
+        pairs within a component that is already known are not compared."""
         s = self.scratch
         pairs, members = self.candidates()
         texts = self.held
@@ -484,20 +504,26 @@ class JaccardJoin:
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, class_id of every row."""
         found, _ = self.links()
-        led = self.scratch.save(self.classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", "rep", F.coalesce("comp", "rep").alias("comp")), "led")
+        # The least class number of a component stands for it until here; its smallest document id is the result.
+        nodes = self.classes.select("n", "k1", "k2", "rep", "text_hash", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        nodes = self.scratch.save(nodes, "nodes")
+        least = nodes.groupBy("comp").agg(F.min(F.struct("rep", "text_hash")).alias("least")).select("comp", F.col("least.rep").alias("component_id"), F.col("least.text_hash").alias("least_hash"))
+        led = self.scratch.save(nodes.join(least, "comp").select("n", "k1", "k2", F.col("rep").alias("class_id"), "component_id", "least_hash"), "led")
         rows = self.sets.join(led, ["n", "k1", "k2"], "left")
-        of = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), of("comp").alias("component_id"), of("rep").alias("class_id"))
+        of = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
+        leads = F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("least_hash")), F.lit(True))
+        return rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), of("component_id"), of("class_id"), leads.alias("leads"))
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every row: sets of distinct 5-word shingles (A-Z lower-cased; fewer words
-    are one shingle) link at a Jaccard similarity of 0.75 or more; component_id is the smallest id reachable, class_id the
-    smallest with the same set.
+    """doc_id, text_hash, n_shingles, component_id, class_id, leads of every row: sets of distinct 5-word shingles (A-Z
+    lower-cased; fewer words are one shingle) link at a Jaccard similarity of 0.75 or more; component_id is the smallest id
+    reachable, class_id the smallest with the same set, text_hash Spark's xxhash64 of the text. leads says whether a row has
+    the smallest id and text hash of its component (a row that repeats both leads as well, as does one without words or id).
 
     Null, empty and wordless texts have no shingles and link with nothing. Rows with a null id take no part and have a null
-    component. Rows that repeat an id with different texts are told apart by their sets; of classes led by the same id the
-    smallest set alone is compared with others. Other columns are not read; an empty table gives an empty result.
+    component. Rows that repeat an id with different texts are told apart: each is compared, and has the component of its own
+    text. Other columns are not read; an empty table gives an empty result.
     """
     return JaccardJoin(documents).result()
 

@@ -1,7 +1,8 @@
 """Substring deduplication: Rabin-Karp hashes of every window of words, counted in Spark.
 
-Every window of ``width`` consecutive words is hashed to 96 bits (64 bits that are sorted and counted, 32 more that have to
-agree). A map task keeps, of a window that it meets often, the smallest document and sends the others straight to
+Every window of ``width`` consecutive words is hashed to 96 bits (64 bits that are sorted and counted, 32 more, of other hashes
+of the words, that have to agree): of n windows, two different ones are taken for equal with a probability of about
+n^2 / 2^97. A map task keeps, of a window that it meets often, the smallest document and sends the others straight to
 removal, so a passage that a third of all documents share arrives once per task and not once per document. Removed
 windows merge into maximal intervals of words.
 """
@@ -14,9 +15,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._buckets import bucket_count, cuts, pack_keys, runs, unpack_keys
+from ._buckets import bucket_count, cuts, dealt, first_buckets, pack_keys, runs, unpack_keys
 from ._common import Scratch, table
-from ._words import Words, mix, string_slices
+from ._words import mix, parts
 
 WIDTH = 50
 #: Windows sorted at a time in a map task.
@@ -44,7 +45,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], list(names))
 
 
-def _chunk(keys, checks, docs, buckets: int) -> pa.RecordBatch:
+def _chunk(keys, checks, docs, buckets: int, classes: int) -> pa.RecordBatch:
     """Blocks of the smallest document of each window; hits of the others."""
     order = np.lexsort((docs, keys))
     keys, checks, docs = keys[order], checks[order], docs[order]
@@ -53,49 +54,69 @@ def _chunk(keys, checks, docs, buckets: int) -> pa.RecordBatch:
     start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
     more = ~first & (docs != docs[start])
     # Hits travel along with the bucket of the same number as their class.
-    rows = [(c, None, None, None, d, h) for c, d, h in _by_class(docs[more], keys[more], buckets)]
+    rows = [(c, None, None, None, d, h) for c, d, h in _by_class(docs[more], keys[more], classes)]
     keys, checks, docs = keys[first], checks[first], docs[first]
-    at = cuts(keys, buckets)
-    for b in np.flatnonzero(np.diff(at)):
-        own, owner = np.unique(docs[at[b] : at[b + 1]], return_inverse=True)
-        rows.append((int(b), pack_keys(keys[at[b] : at[b + 1]]), checks[at[b] : at[b + 1]].tobytes(), owner.astype("<u4" if len(own) > 65536 else "<u2").tobytes(), own.astype("<i8").tobytes(), None))
+    for b, at in cuts(keys, buckets):
+        own, owner = np.unique(docs[at], return_inverse=True)
+        rows.append((b, pack_keys(keys[at]), checks[at].tobytes(), owner.astype("<u4" if len(own) > 65536 else "<u2").tobytes(), own.astype("<i8").tobytes(), None))
     return _batch(rows, _BLOCKS)
 
 
-def _emit(batches, width: int, buckets: int):
+def _chunks(arrays, buckets: int, classes: int):
+    """Blocks of (keys, checks, documents) arrays, as soon as CHUNK windows are held."""
     held, n = [], 0
+    for some in arrays:
+        held.append(some)
+        n += len(some[0])
+        if n >= CHUNK:
+            yield _chunk(*(np.concatenate(c) for c in zip(*held)), buckets, classes)
+            held, n = [], 0
+    if n:
+        yield _chunk(*(np.concatenate(c) for c in zip(*held)), buckets, classes)
 
-    def out():
-        return _chunk(*(np.concatenate(c) for c in zip(*held)), buckets)
 
+def _windows(batches, width: int):
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        for row, end, data, offsets in string_slices(batch.column(1)):
-            w = Words(data, offsets)
-            at = w.window_starts(width)
-            if len(at):
-                held.append((w.window_hashes(at, width), w.window_hashes(at, width, _SECOND_BASE).astype("<u4"), ids[row:end][w.docs[at]]))
-                n += len(at)
-            if n >= CHUNK:
-                yield out()
-                held, n = [], 0
-    if held:
-        yield out()
+        for p in parts(batch.column(1), width - 1):
+            at = p.words.window_starts(width)
+            yield p.words.window_hashes(at, width), p.words.window_hashes(at, width, _SECOND_BASE, check=True).astype("<u4"), ids[p.row : p.end][p.words.docs[at]]
+
+
+def _unblock(keys, checks, owners, docs):
+    docs = np.frombuffer(docs, "<i8")
+    return unpack_keys(keys), np.frombuffer(checks, "<u4"), docs[np.frombuffer(owners, "<u2" if len(docs) <= 65536 else "<u4")]
+
+
+def _resplit(batches, buckets: int):
+    """Blocks of the first buckets, dealt into the final ones."""
+    hits = []
+
+    def blocks():
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["hits"] is None:
+                    yield _unblock(r["keys"], r["checks"], r["owners"], r["docs"])
+                else:
+                    hits.append(tuple(r.values()))
+
+    for out in _chunks(blocks(), buckets, buckets):
+        yield out
+        yield _batch(hits, _BLOCKS)
+        hits.clear()
+    yield _batch(hits, _BLOCKS)
 
 
 def _count(t: pa.Table, classes: int) -> pa.Table:
     """Hits of one bucket by class: each window's documents but the smallest."""
-    blocks = [r for r in zip(*(t.column(c).to_pylist() for c in ("keys", "checks", "owners", "docs"))) if r[0] is not None]
+    rows = zip(*(t.column(c).to_pylist() for c in ("keys", "checks", "owners", "docs")))
+    blocks = [_unblock(*r) for r in rows if r[0] is not None]
     passed = t.filter(pa.compute.is_valid(t.column("hits"))).select(["bucket", "docs", "hits"]).rename_columns(["doc_class", "docs", "hits"])
-    keys = np.concatenate([np.zeros(0, np.uint64), *[unpack_keys(r[0]) for r in blocks]])
+    keys, checks, docs = (np.concatenate([np.zeros(0, kind), *c]) for c, kind in zip(zip(*blocks) if blocks else [[]] * 3, (np.uint64, "<u4", np.int64)))
     order = np.argsort(keys, kind="stable")
     new = runs(keys[order])
-    often = np.repeat(np.diff(new) > 1, np.diff(new))
-    order = order[often]
-    keys = keys[order]
-    checks = np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(r[1], "<u4") for r in blocks]])[order]
-    own = [np.frombuffer(r[3], "<i8") for r in blocks]
-    docs = np.concatenate([np.zeros(0, np.int64), *[d[np.frombuffer(r[2], "<u2" if len(d) <= 65536 else "<u4")] for r, d in zip(blocks, own)]])[order]
+    order = order[np.repeat(np.diff(new) > 1, np.diff(new))]
+    keys, checks, docs = keys[order], checks[order], docs[order]
     order = np.lexsort((docs, checks, keys))
     keys, checks, docs = keys[order], checks[order], docs[order]
     first = np.ones(len(keys), bool)
@@ -116,9 +137,10 @@ def _unpack(t: pa.Table) -> pa.Table:
 
 def repeated_windows(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, hits: hashes of the windows of a document that also start in one with a smaller id."""
-    buckets = bucket_count(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    blocks = docs.mapInArrow(lambda b: _emit(b, width, buckets), _BLOCKS)
+    buckets = bucket_count(docs)
+    blocks = docs.mapInArrow(lambda b: _chunks(_windows(b, width), first_buckets(buckets), buckets), _BLOCKS)
+    blocks = dealt(blocks, buckets, lambda b: _resplit(b, buckets))
     classes = blocks.groupBy("bucket").applyInArrow(lambda t: _count(t, buckets), _CLASSES)
     return classes.groupBy("doc_class").applyInArrow(_unpack, _HITS)
 
@@ -126,33 +148,50 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 _OUT = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept string"
 
 
+def _spans(off: np.ndarray, first: int) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], off, [False]]).astype(np.int8))) + first
+    return [(int(s), int(e)) for s, e in zip(edges[::2], edges[1::2])]
+
+
 def _remove(batches, width: int):
+    """Every word of every text once: of a part, the last width - 1 words wait for the windows of the next part."""
     for batch in batches:
         ids, texts, hits = batch.columns[:3]
         wanted = [np.frombuffer(h, "<u8") if h else None for h in hits.to_pylist()]
-        n, spans, kept = [], [], []
-        for row, end, data, offsets in string_slices(texts):
-            w = Words(data, offsets) if any(x is not None for x in wanted[row:end]) else None
-            if w:
+        n, spans, kept = [0] * len(wanted), [[] for _ in wanted], [b""] * len(wanted)
+        carry = np.zeros(0, bool)
+        for p in parts(texts, width - 1):
+            w = p.words
+            step = np.zeros(len(w.starts) + 1, np.int64)
+            own = [i for i in range(p.row, p.end) if wanted[i] is not None]
+            if own:
                 starts = w.window_starts(width)
                 windows, edge = w.window_hashes(starts, width), np.searchsorted(starts, w.bounds)
-            for i in range(row, end):
-                words = data[offsets[i - row] : offsets[i - row + 1]].tobytes().split()
-                out = []
-                if wanted[i] is not None and len(words) >= width:
-                    gone = np.flatnonzero(np.isin(windows[edge[i - row] : edge[i - row + 1]], wanted[i]))
-                    step = np.zeros(len(words) + 1, np.int64)
+                for i in own:
+                    here = slice(edge[i - p.row], edge[i - p.row + 1])
+                    gone = starts[here][np.isin(windows[here], wanted[i])]
                     np.add.at(step, gone, 1)
                     np.add.at(step, gone + width, -1)
-                    off = np.cumsum(step[:-1]) > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], off, [False]]).astype(np.int8)))
-                    out = [{"start": int(s), "end": int(e)} for s, e in zip(edges[::2], edges[1::2])]
-                    kept.append(b" ".join([words[k] for k in np.flatnonzero(~off)]).decode())
-                else:
-                    kept.append(b" ".join(words).decode())
-                n.append(len(words))
-                spans.append(out)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string()), *batch.columns[3:]], [*(f.split()[0] for f in _OUT.split(", ")[:2]), "spans", "kept", *batch.schema.names[3:]])
+            off = np.cumsum(step[:-1]) > 0
+            off[: p.skip] |= carry
+            settled = len(off) if p.last else len(off) - (width - 1)
+            carry = off[settled:]
+            keep = ~off
+            keep[settled:] = False
+            out, ends = w.joined(keep)
+            for i in range(p.row, p.end):
+                a, b = w.bounds[i - p.row], min(w.bounds[i - p.row + 1], settled)
+                if i in own:
+                    spans[i] += _spans(off[a:b], n[i])
+                n[i] += int(b - a)
+                kept[i] += out[ends[i - p.row] : ends[i - p.row + 1]]
+        # A passage that goes on in the next part has two touching spans.
+        for s in spans:
+            for k in range(len(s) - 1, 0, -1):
+                if s[k - 1][1] == s[k][0]:
+                    s[k - 1 : k + 1] = [(s[k - 1][0], s[k][1])]
+        spans = [[{"start": s, "end": e} for s, e in x] for x in spans]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([k[:-1].decode() for k in kept], pa.string()), *batch.columns[3:]], [*(f.split()[0] for f in _OUT.split(", ")[:2]), "spans", "kept", *batch.schema.names[3:]])
 
 
 def deduplicate(documents: DataFrame, width: int = WIDTH, carry: list[str] = ()) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
+from extentlake.llm import _words
 from extentlake.llm.decontaminate import contaminated, tiles
 
 DOCS, ITEMS = "doc_id long, text string, item_id string", "item_id long, text string, doc_id string"
@@ -48,6 +50,37 @@ def test_reordered_item_of_short_sentences(spark, limit):
     assert got == [(1, 10, 16, 14, 3, 7), (3, 11, 4, 4, 1, 4)]
 
 
+@pytest.mark.parametrize("limit", [10**7, 0])
+def test_items_of_fewer_words_than_a_tile(spark, limit):
+    """They are found where they are all of a document, and nowhere else."""
+    docs = [(1, "Yes!"), (2, "yes, sir"), (3, "yes sir and more words"), (4, "no"), (5, "...")]
+    assert run(spark, docs, [(10, "yes"), (11, "Yes sir."), (12, "!")], broadcast_bytes=limit) == [(1, 10, 1, 1, 1, 1), (2, 11, 2, 2, 1, 2)]
+
+
+def brute_pairs(docs, items, k, share):
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    out = []
+    for d, text in docs:
+        for i, item in items:
+            a, b = split(item), split(text)
+            got = brute_tiles(a, b, k) if len(a) >= k else [(0, 0, len(a))] if a and a == b else []
+            if got and sum(t[2] for t in got) >= share * len(a):
+                out.append((d, i, len(a), sum(t[2] for t in got), len(got), got[0][2]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limit", [10**7, 0])
+def test_pairs_equal_brute_force(spark, limit, sized):
+    """The whole operator on texts of few words, which share many seeds; also with texts in parts."""
+    if limit:
+        sized(_words, "SLICE_BYTES", 90)
+    rnd = random.Random(12)
+    text = lambda n: " ".join(rnd.choice(["ab", "c,", "é", "D.", "x1", "yy", "zz!", "q"]) for _ in range(n))
+    items = [(k, text(rnd.choice([1, 2, 3, 5, 9, 20]))) for k in range(15)] + [(99, None), (98, "")]
+    docs = [(k, " ".join([text(rnd.randrange(6)), *(x or "" for _, x in rnd.sample(items, 2)), text(rnd.randrange(6))])) for k in range(40)] + [(50, None), (51, items[0][1])]
+    assert run(spark, docs, items, broadcast_bytes=limit) == brute_pairs(docs, items, 3, 0.5)
+
+
 def brute_tiles(a, b, k):
     ma, mb, out = [False] * len(a), [False] * len(b), []
     while True:

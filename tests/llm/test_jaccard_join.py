@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from extentlake.llm import _buckets, _words
 from extentlake.llm import jaccard_join as jj
 from extentlake.llm._graph import components as graph_components
 from extentlake.llm._common import Scratch
@@ -26,10 +27,15 @@ def edited(rnd, words, share):
 
 
 @pytest.mark.parametrize("small", [1, 3])
-def test_equals_brute_force(spark, small, monkeypatch):
-    """Families of copies and near copies of all sizes, a hot passage, and chains of edits."""
-    monkeypatch.setattr(jj, "SMALL_GROUP", small)
-    monkeypatch.setattr(jj, "CHUNK_KEYS", 2000)
+def test_equals_brute_force(spark, small, sized):
+    """Families of copies and near copies of all sizes, a hot passage, and chains of edits; for small=1 also texts in parts
+    and keys by way of a few first buckets."""
+    if small == 1:
+        sized(_words, "SLICE_BYTES", 150)
+        sized(_buckets, "FIRST_BUCKETS", 3)
+        sized(_buckets, "BUCKET_TEXT_BYTES", 2000)
+    sized(jj, "SMALL_GROUP", small)
+    sized(jj, "CHUNK_KEYS", 2000)
     rnd = random.Random(8)
     hot = [f"h{k}" for k in range(25)]
     docs = []
@@ -54,6 +60,16 @@ def test_nulls_repeats_and_empty(spark):
     assert run(spark, []) == []
 
 
+def test_an_id_with_several_texts(spark):
+    """Each text of the id is compared; the id alone doesn't link them."""
+    rnd = random.Random(2)
+    long, other = ([f"w{rnd.randrange(10**6)}" for _ in range(n)] for n in (100, 20))
+    near, near_other = [*long[:-1], "edit"], [*other, "more"]
+    docs = [(1, " ".join(long)), (1, " ".join(other)), (5, " ".join(near)), (7, " ".join(near_other)), (1, " ".join(long))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.leads) for r in run(spark, docs))
+    assert got == sorted([(1, 96, 1, True), (1, 96, 1, True), (1, 16, 1, True), (5, 96, 1, False), (7, 17, 1, False)])
+
+
 def test_a_very_long_text(spark):
     rnd = random.Random(1)
     words = [str(rnd.randrange(10**9)) for _ in range(120_000)]
@@ -80,8 +96,8 @@ def test_components_of_paths_stars_and_loops(spark):
     assert got == {**{k: 100 for k in range(100, 161)}, **{k: 1 for k in range(1, 30)}, **{k: 500 for k in (500, 501, 502)}}
 
 
-def test_tiles_count_all_intersections(monkeypatch):
-    monkeypatch.setattr(jj, "TILE_SHINGLES", 7)
+def test_tiles_count_all_intersections(sized):
+    sized(jj, "TILE_SHINGLES", 7)
     rng = np.random.default_rng(5)
     for _ in range(20):
         sets = [[np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(rng.integers(1, 6))] for _ in range(2)]

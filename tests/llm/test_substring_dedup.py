@@ -1,6 +1,8 @@
 import random
 
-from extentlake.llm import substring_dedup
+import pytest
+
+from extentlake.llm import _buckets, _words, substring_dedup
 from extentlake.llm.substring_dedup import deduplicate
 
 from .brute import WORD, kept_words
@@ -13,8 +15,39 @@ def run(spark, docs, width):
     return deduplicate(df, width).collect()
 
 
-def test_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK", 300)
+def thue_morse(n):
+    """Two words that polynomials modulo 2^64 can't tell apart, whatever their base."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_pattern_and_its_complement_differ(spark):
+    a, b = thue_morse(1024)
+    common = [f"w{k}" for k in range(49)]
+    got = {r.doc_id: r.kept for r in run(spark, [(1, " ".join([*common, a])), (2, " ".join([*common, b]))], 50)}
+    assert len(got[2].split()) == 50
+
+
+def test_repeats_across_parts_of_a_long_text(spark, sized):
+    """Spans that begin in one part of a long text and end in another; huge words."""
+    sized(_words, "SLICE_BYTES", 200)
+    rnd = random.Random(9)
+    base = [f"{rnd.randrange(50)}" for _ in range(600)]
+    docs = [(1, " ".join(base)), (2, " ".join(["x", *base[100:420], "y", *base[3:90]])), (3, "q" * 5000 + " " + " ".join(base[:300])), (4, " ".join(base[10:14])), (5, "q" * 5000)]
+    want = kept_words(docs, 9)
+    for d, r in ((r.doc_id, r) for r in run(spark, docs, 9)):
+        assert r.kept == " ".join(want[d]), d
+        assert all(b < c for (_, b), (c, _) in zip(r.spans, r.spans[1:]))
+
+
+@pytest.mark.parametrize("first", [3, 4096])
+def test_equals_brute_force(spark, sized, first):
+    """Dealt into buckets at once, and by way of a few first buckets."""
+    sized(_buckets, "FIRST_BUCKETS", first)
+    sized(_buckets, "BUCKET_TEXT_BYTES", 500)
+    sized(substring_dedup, "CHUNK", 300)
     rnd = random.Random(5)
     passages = [[rnd.choice("ab c d éß".split()) for _ in range(rnd.randint(5, 30))] for _ in range(6)]
     docs = []
