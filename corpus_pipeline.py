@@ -13,43 +13,69 @@ from extentlake.llm import decontaminate, jaccard_join, language_id, packing, su
 from extentlake.llm._common import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose best language has a lower mean probability than this is in none of the languages learnt.
-MIN_LANGUAGE_SCORE = 0.3
+#: The hash of its text tells rows apart that repeat an id with different texts.
+TEXT_HASH = "xxhash64(text)"
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters or text (``und``) and those below MIN_LANGUAGE_SCORE."""
+    """Drop documents without text or letters (``und``), and those that are more probably in no language than in the best one.
+
+    Rows with a null or repeated id, a null source or a null language are judged by their text like any other, repeated rows
+    alike; a tie between a language and none keeps the document. Long strings of digits or hexadecimal digits aren't noise here,
+    as they stand in clean documents too. Without a labelled row nothing can be learnt and every row is
+    dropped; no rows give no rows.
+    """
     docs = docs.select(COLUMNS)
     judged = language_id.identify(docs, language_id.train(docs), carry=["text", "lang", "source", "n_chars"])
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(COLUMNS)
+    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= F.col("no_language"))).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id stays, once if its row repeats; rows without an id stay."""
-    docs = docs.select(COLUMNS)
-    others = jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    others = Scratch(spark, "near").save(others, "others")
-    kept = docs.where("doc_id IS NOT NULL").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(COLUMNS)
+    """Of every group of linked documents the one with the smallest id stays (of rows that repeat this id, the one whose text
+    has the smallest hash). Of rows that repeat id and text, one stays if the text has words.
+
+    Rows without an id, and texts that are null, empty or have no words, are in no group: all of them stay. Rows that repeat
+    an id with different texts are judged apart. Whole texts are compared, however long; no rows give no rows.
+    """
+    docs, scratch = docs.select(COLUMNS), Scratch(spark, "near")
+    judged = scratch.save(jaccard_join.jaccard_components(docs).where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "text_hash", "leads"), "judged")
+    copies = judged.groupBy("doc_id", "text_hash").agg(F.bool_and("leads").alias("leads"), F.count("*").alias("n")).where("NOT leads OR n > 1")
+    copies = scratch.save(copies.select("doc_id", F.col("text_hash").alias("key"), "leads"), "copies")
+    rows = docs.withColumn("key", F.expr(TEXT_HASH))
+    kept = rows.join(copies, ["doc_id", "key"], "left_anti").select(COLUMNS)
+    repeated = rows.join(copies.where("leads").drop("leads"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(COLUMNS)
+    return kept.unionByName(repeated)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 50 words and more that a document of smaller id holds as well; other texts stay as they are."""
+    """Cut passages of 50 words and more that a document of smaller id holds as well; other texts stay as they are.
+
+    A row without an id is kept whole and cuts nothing; rows that repeat an id don't cut each other. Null and empty texts stay
+    so; a text may become empty. Texts are read whole, however long; no rows give no rows.
+    """
     out = substring_dedup.deduplicate(docs, carry=["text", "lang", "source", "n_chars"])
     cut = F.size("spans") > 0
     return out.withColumn("n_chars", F.when(cut, F.length("kept")).otherwise(F.col("n_chars"))).withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text"))).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold half or more of a benchmark item's words in runs of three and more."""
-    docs = docs.select(COLUMNS)
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    """Drop documents that hold half or more of a benchmark item's words in runs of three and more.
+
+    Each row is judged by its own text, also if its id is null or repeats; rows that repeat id and text go or stay together.
+    Null and empty texts stay; texts are read whole, however long. No items drop nothing; no rows give no rows.
+    """
+    docs = docs.select(COLUMNS).withColumn("key", F.expr(TEXT_HASH))
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), carry=["key"]).select(F.col("doc_id").alias("found"), F.col("key").alias("found_key")).distinct()
     found = Scratch(spark, "contaminated").save(found, "found")
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found")) & (F.col("key") == F.col("found_key")), "left_anti").select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 tokens."""
+    """Pieces of all documents in sequences of at most 4096 tokens.
+
+    A null or empty text is the end id alone; a text above 4096 ids, however long, is cut into pieces. Rows with null or
+    repeated ids, and repeated rows, are packed each; no rows give no pieces.
+    """
     return packing.pack(docs)
 
 
