@@ -2,8 +2,10 @@
 
 An individual is a packing: a list of bins. Crossover injects well-filled bins of one parent whole into the other, bins
 that now hold an item twice are dissolved, and their items are placed again by best fit, largest first. Items are spread
-over blocks of bounded size; each block is evolved by several islands, which send their elites on in a ring between
-epochs. Bins that stay poorly filled are dissolved once more and packed across blocks.
+over blocks of bounded size; each block is evolved by several islands, which start from different packings (one from best
+fit decreasing, all from best fit in orders of their own) and send their elites on in a ring between epochs. An island
+crosses for one generation at least, and until no packing can have fewer bins. Bins that stay poorly filled are dissolved
+once more and packed across blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from ._common import Scratch, process_cache, table
 CAPACITY = 4096
 END_ID = 1
 BLOCK_ITEMS = 4096
-ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITES = 2, 2, 6, 12, 2
+ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITES = 3, 3, 4, 12, 2
+#: Generations that an island runs even if it has reached the bound.
+MIN_GENERATIONS = 1
 #: Bins that a new individual tries to fill better by trading items with those to be placed.
 TRADES = 60
 #: Bins filled less than this share are dissolved and packed across blocks.
@@ -187,8 +191,14 @@ class Island:
         return Packing(bins, fill, self.capacity)
 
     def first(self) -> Packing:
+        """Best fit decreasing."""
         return self.build(sorted(range(len(self.size)), key=lambda i: -self.size[i]))
 
+    def another(self) -> Packing:
+        """Best fit in an order that is only roughly decreasing."""
+        key = np.array(self.size) * self.rng.uniform(0.6, 1, len(self.size))
+        return self.build(np.argsort(-key, kind="stable").tolist())
+
     def rebuild(self, keep: list[int], parent: Packing, extra: list[list[int]] = ()) -> Packing:
         """``extra`` bins whole, then the parent's bins of ``keep`` that share no item with them; the rest by best fit."""
         bins = [list(b) for b in extra]
@@ -238,16 +248,14 @@ class Island:
         poor = set(np.argsort(a.fill, kind="stable")[:2]) | set(self.rng.integers(0, len(a.bins), max(2, len(a.bins) // 20)))
         return self.rebuild([k for k in range(len(a.bins)) if k not in poor], a)
 
-    def evolve(self, arrived: list[Packing], population: int = POPULATION, generations: int = GENERATIONS) -> list[Packing]:
-        """Best first. Stops as soon as no packing can have fewer bins."""
-        group = list(arrived) or [self.first()]
-        if min(g.cost for g in group)[0] <= self.bound:
-            return sorted(group, key=lambda g: g.cost)
+    def evolve(self, group: list[Packing], population: int = POPULATION, generations: int = GENERATIONS) -> list[Packing]:
+        """Best first. Stops, after MIN_GENERATIONS, as soon as no packing can have fewer bins."""
+        group = list(group)
         while len(group) < population:
-            group.append(self.mutate(group[0]))
-        for _ in range(generations):
+            group.append(self.another())
+        for k in range(generations):
             group.sort(key=lambda g: g.cost)
-            if group[0].cost[0] <= self.bound:
+            if k >= MIN_GENERATIONS and group[0].cost[0] <= self.bound:
                 break
             a, b = self.rng.choice(max(2, population // 2), 2, replace=False)
             group = group[: population - 2] + [self.cross(group[a], group[b]), self.mutate(group[a])]
@@ -255,7 +263,8 @@ class Island:
 
 
 def _islands(batches, capacity: int, seed: int):
-    """One epoch of each row's island: block, island, sizes, packings (each a bin number for every item)."""
+    """One epoch of each row's island: block, island, sizes, packings (each a bin number for every item). In the first epoch
+    the first island also tells how many bins best fit decreasing needs."""
     for batch in batches:
         for row in batch.to_pylist():
             size = row["sizes"]
@@ -266,6 +275,10 @@ def _islands(batches, capacity: int, seed: int):
                 for i, b in enumerate(places):
                     bins[b].append(i)
                 arrived.append(Packing(bins, [sum(size[i] for i in b) for b in bins], capacity))
+            base = row["best_fit"]
+            if not arrived and row["island"] == 0:
+                arrived = [island.first()]
+                base = len(arrived[0].bins)
             best = island.evolve(arrived)[:ELITES]
             out = []
             for p in best:
@@ -275,42 +288,45 @@ def _islands(batches, capacity: int, seed: int):
                         places[i] = b
                 out.append(places)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["block"]], pa.int64()), pa.array([row["island"]], pa.int32()), pa.array([size], pa.list_(pa.int32())), pa.array([len(best[0].bins)], pa.int32()), pa.array([best[0].cost[0] <= island.bound]), pa.array([out], pa.list_(pa.list_(pa.int32())))],
-                ["block", "island", "sizes", "bins", "done", "packings"],
+                [pa.array([row["block"]], pa.int64()), pa.array([row["island"]], pa.int32()), pa.array([size], pa.list_(pa.int32())), pa.array([len(best[0].bins)], pa.int32()), pa.array([best[0].cost[0] <= island.bound]), pa.array([out], pa.list_(pa.list_(pa.int32()))), pa.array([base], pa.int32())],
+                ["block", "island", "sizes", "bins", "done", "packings", "best_fit"],
             )
 
 
 def pack_blocks(scratch: Scratch, items: DataFrame, n: int, capacity: int, tag: str) -> DataFrame:
-    """block, bin, offset, fill for every row of ``items`` (which keeps its columns), evolved in blocks."""
+    """block, bin, offset, fill, gain for every row of ``items`` (which keeps its columns), evolved in blocks; gain: bins of the
+    block that best fit decreasing would need more."""
     blocks = max(1, -(-n // BLOCK_ITEMS))
     key = F.pmod(F.xxhash64("spread", F.lit(tag)), F.lit(blocks))
     items = items.withColumn("block", key)
     items = scratch.save(items.withColumn("i", F.row_number().over(W.partitionBy("block").orderBy("spread", "doc_id", "piece")) - 1), f"items-{tag}")
     state = items.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", F.col("length").cast("int").alias("length")))).getField("length").alias("sizes"))
-    state = state.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", F.array().cast("array<array<int>>").alias("packings"))
-    schema = "block long, island int, sizes array<int>, bins int, done boolean, packings array<array<int>>"
+    state = state.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", F.array().cast("array<array<int>>").alias("packings"), F.lit(None).cast("int").alias("best_fit"))
+    schema = "block long, island int, sizes array<int>, bins int, done boolean, packings array<array<int>>, best_fit int"
     parts = max(blocks * ISLANDS, 1)
     for epoch in range(EPOCHS):
         if epoch:
-            # Elites stay and also move on to the next island of the ring; blocks that can't improve stay as they are.
-            moved = state.where("not done").select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "sizes", "packings")
-            stayed = state.where("not done").select("block", "island", "sizes", "packings")
-            rest = state.where("done")
-            state = stayed.unionByName(moved).groupBy("block", "island").agg(F.first("sizes").alias("sizes"), F.flatten(F.collect_list("packings")).alias("packings"))
+            # Elites stay and also move on to the next island of the ring; blocks with an island that can't improve are done.
+            finished = state.groupBy("block").agg(F.bool_or("done").alias("over"))
+            state = scratch.save(state.drop("done").join(finished.withColumnRenamed("over", "done"), "block"), f"judged-{tag}-{epoch}", batch_rows=4)
+            stayed = state.where("not done").select("block", "island", "sizes", "packings", "best_fit")
+            moved = stayed.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "sizes", "packings", F.lit(None).cast("int").alias("best_fit"))
+            rest = state.where("done").select(*[f.split()[0] for f in schema.split(", ")])
+            state = stayed.unionByName(moved).groupBy("block", "island").agg(F.first("sizes").alias("sizes"), F.flatten(F.collect_list("packings")).alias("packings"), F.max("best_fit").alias("best_fit"))
         state = state.repartition(min(parts, 4 * int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))), "block", "island")
         state = state.mapInArrow(lambda b, seed=epoch: _islands(b, capacity, seed), schema)
         if epoch:
             state = state.unionByName(rest)
         state = scratch.save(state, f"epoch-{tag}-{epoch}", batch_rows=4)
-    best = state.groupBy("block").agg(F.min_by(F.col("packings")[0], F.struct("bins", "island")).alias("places"))
-    placed = best.select("block", F.posexplode("places").alias("i", "bin"))
+    best = state.groupBy("block").agg(F.min_by(F.col("packings")[0], F.struct("bins", "island")).alias("places"), (F.max("best_fit") - F.min("bins")).alias("gain"))
+    placed = best.select("block", "gain", F.posexplode("places").alias("i", "bin"))
     rows = items.join(placed, ["block", "i"])
     bins = W.partitionBy("block", "bin")
     return rows.withColumn("fill", F.sum("length").over(bins)).withColumn("offset", F.sum("length").over(bins.orderBy("i")) - F.col("length")).drop("i")
 
 
 def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, fill of every piece.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, fill, gain of every piece; gain as in pack_blocks.
 
     A null text is an empty one: the end id alone. Only documents above ``capacity`` ids are cut. Null ids and repeated
     rows are packed like any other row; other columns are not read; an empty table gives an empty result. Null-id and
@@ -323,7 +339,7 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY
     poor = F.col("fill") < POOR * capacity
     left, old = first.where(poor).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
     number = lambda k: F.col("block") * 65536 * 2 + F.col("bin") * 2 + k
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "gain"]
     done = first.withColumn("sequence_id", number(0))
     if left:
         again = scratch.save(pack_blocks(scratch, first.where(poor).select(*items.columns), left, capacity, "b"), "repacked")

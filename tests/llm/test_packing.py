@@ -55,6 +55,51 @@ def test_pieces_sequences_and_few_bins(spark, tokens, monkeypatch):
     assert n <= lower_bound(size, CAPACITY) * 1.02 + 2
 
 
+def test_crossover_decides_a_block_that_best_fit_fails(spark, tokens):
+    """Documents of three lengths that fill sequences exactly in threes: the algorithm needs fewer sequences than best fit."""
+    rng = np.random.default_rng(17)
+    size = [x for _ in range(12) for a in rng.integers(1100, 1900, 1).tolist() for b in [int(rng.integers(1050, 4096 - 1050 - a))] for x in (a, b, 4096 - a - b)]
+    docs = [(k, " ".join(["a"] * (n - 1))) for k, n in enumerate(size)]
+    rows = pack(spark.createDataFrame([(*d, "clash", 1) for d in docs], SCHEMA)).collect()
+    assert sorted(r.length for r in rows) == sorted(size)
+    n, base = check(rows, docs, tokens), len(Island(size, CAPACITY, 0).first().bins)
+    assert 12 <= n < base and {r.gain for r in rows} == {base - n}
+
+
+def fewest_bins(size, capacity):
+    """By trying all: the next item goes into each open bin or a new one."""
+    best = [len(size)]
+
+    def go(k, fill):
+        if len(fill) >= best[0]:
+            return
+        if k == len(size):
+            best[0] = len(fill)
+            return
+        for b in range(len(fill)):
+            if fill[b] + size[k] <= capacity:
+                go(k + 1, [*fill[:b], fill[b] + size[k], *fill[b + 1 :]])
+        go(k + 1, [*fill, size[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_small_packings_are_the_best_there_are():
+    rng = np.random.default_rng(6)
+    for seed in range(30):
+        size = sorted(rng.integers(10, 60, rng.integers(1, 9)).tolist(), reverse=True)
+        island = Island(size, 100, seed)
+        assert len(island.evolve([island.first()], population=6, generations=40)[0].bins) == fewest_bins(size, 100)
+
+
+def test_an_island_crosses_even_if_best_fit_is_perfect(monkeypatch):
+    crossed = []
+    monkeypatch.setattr(Island, "cross", lambda self, a, b, real=Island.cross: crossed.append(1) or real(self, a, b))
+    island = Island([50] * 40, 100, 0)
+    assert len(island.evolve([island.first()])[0].bins) == 20 and crossed
+
+
 def test_no_row(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -73,7 +118,7 @@ def test_the_genetic_algorithm_keeps_items_and_beats_best_fit():
         size = [int(x) for _ in range(20) for a in rng.integers(260, 480, 1) for b in [int(rng.integers(250, 750 - a))] for x in (a, b, 1000 - a - b)]
         island = Island(size, 1000, seed)
         first = island.first()
-        best = island.evolve([], population=10, generations=300)[0]
+        best = island.evolve([first], population=10, generations=300)[0]
         assert sorted(i for b in best.bins for i in b) == list(range(60))
         assert all(sum(size[i] for i in b) == f <= 1000 for b, f in zip(best.bins, best.fill))
         assert best.cost <= first.cost
