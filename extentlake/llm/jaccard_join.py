@@ -530,3 +530,22 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: Sets by their sorted shingles as text, all pairs that share a shingle, and reachability.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+c AS (SELECT h, any_value(n) AS n, min(doc_id) AS rep FROM n GROUP BY h),
+u AS (SELECT g, doc_id AS rep FROM s WHERE doc_id IN (SELECT rep FROM c)),
+p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS m FROM u x JOIN u y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN c ca ON ca.rep = a JOIN c cb ON cb.rep = b WHERE 100 * m >= 75 * (ca.n + cb.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+k AS (SELECT node, min(seen) AS comp FROM r GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.comp, c.rep, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (h) LEFT JOIN k ON k.node = c.rep
+"""

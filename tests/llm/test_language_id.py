@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from extentlake.llm.language_id import UNKNOWN, ByteTagger, identify, train, training_windows
+from extentlake.llm.language_id import UNKNOWN, WINDOW, ByteTagger, identify, query, train, training_windows
 
 SCHEMA = "doc_id long, text string, lang string, lang_pred string"
 
@@ -91,3 +91,36 @@ def test_no_rows_and_no_labels(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert train(empty) is None and identify(empty, None).count() == 0
     assert identify(spark.createDataFrame([(1, "abc", None, None)], SCHEMA), None).first().lang_pred == UNKNOWN
+
+
+def test_held_out_documents_of_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = query(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
+    assert len(got) > 200 and np.mean([r.lang == r.lang_pred for r in got]) > 0.98
+
+
+def test_scores_equal_a_loop_over_positions():
+    """Every window on its own, every step of both networks by plain formulas."""
+    model = ByteTagger(["a", "b", "none"], hidden=4, seed=3)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def run(net, codes):
+        h, out = np.zeros(net.h), []
+        for c in codes:
+            e, g = net.table[c], h @ net.u
+            z, r = sig(g[: net.h] + e[: net.h]), sig(g[net.h :] + e[net.h : 2 * net.h])
+            h = h + z * (np.tanh((r * h) @ net.uc + e[2 * net.h :]) - h)
+            out.append(h)
+        return out
+
+    for text in ("ab é", "x" * 130, "kalo mi " * 9):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        total = np.zeros(3)
+        for k in range(0, len(raw), WINDOW):
+            codes = [*raw[k : k + WINDOW].tolist()] + [256] * max(0, k + WINDOW - len(raw))
+            fore, back = run(model.fore, codes), run(model.back, codes[::-1])[::-1]
+            for f, b, c in zip(fore, back, codes):
+                if c < 256:
+                    p = np.exp(np.concatenate([f, b]) @ model.w + model.b)
+                    total += p / p.sum()
+        assert np.allclose(model.score(raw, np.array([0, len(raw)]))[0], total / len(raw), atol=1e-4)
