@@ -13,9 +13,9 @@ MAX_BATCH = 100
 
 
 def write_error(path: Column, size: Column, has_payload: Column, synthetic: Column, codec: Column) -> Column:
-    """The first thing wrong with a write request; null if nothing is."""
+    """The first thing wrong with a write request; null if nothing is. A payload's own length replaces the size that was given."""
     return (
-        F.when(path == "", "path required").when(size < 0, "negative size").when(~has_payload & ~synthetic, "payload required")
+        F.when(path == "", "path required").when((size < 0) & ~has_payload, "negative size").when(~has_payload & ~synthetic, "payload required")
         .when((codec != "") & ~codec.isin(*CODECS), "unsupported codec")
     )
 
@@ -60,9 +60,17 @@ def exposition(metrics: DataFrame, prefix: str) -> DataFrame:
 
 
 def health_report(disks: DataFrame) -> DataFrame:
-    """disk_id, report: a text block for each disk (an error line only where there is one)."""
-    error = F.when(F.col("error") != "", F.concat(F.lit("\n  Last Error: "), "error")).otherwise("")
-    return disks.select("disk_id", F.concat(F.lit("Disk: "), F.col("disk_id").cast("string"), F.lit("\n  Status: "), "status", F.lit("\n  Failures: "), F.col("failures").cast("string"), error).alias("report"))
+    """One row, report: a title and a block of text for each disk (disk_id, status, failures, checked, error, smart), in order of id;
+    a line for an error and three for SMART data only where there are any. Disks are a dimension of bounded size."""
+    line = lambda name, value: F.concat(F.lit(f"  {name}: "), value.cast("string"), F.lit("\n"))
+    smart = F.concat(line("Temperature", F.concat(F.col("smart.celsius").cast("string"), F.lit("°C"))), line("Reallocated Sectors", F.col("smart.reallocated")), line("Power On Hours", F.col("smart.hours")))
+    block = F.concat(
+        F.lit("Disk: "), F.col("disk_id").cast("string"), F.lit("\n"), line("Status", F.col("status")), line("Failures", F.col("failures")),
+        line("Last Check", F.date_format("checked", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.when(F.col("error") != "", line("Last Error", F.col("error"))).otherwise(""),
+        F.when(F.col("smart").isNotNull(), smart).otherwise(""), F.lit("\n"),
+    )
+    blocks = F.array_sort(F.collect_list(F.struct("disk_id", block.alias("block"))))
+    return disks.agg(F.concat(F.lit("=== Pool Health Report ===\n\n"), F.array_join(blocks.getField("block"), "")).alias("report"))
 
 
 def record_kind(path: Column, has_file: Column, extents: Column) -> Column:

@@ -83,12 +83,14 @@ def quorum(disks: DataFrame) -> DataFrame:
     return disks.agg(present.alias("present"), total.alias("total"), ((total > 0) & (present >= total - 1)).alias("intact"))
 
 
-def status(disks: DataFrame, files: DataFrame, extents: DataFrame, journal: DataFrame) -> DataFrame:
-    """One row: counts of the catalog, journal records and open transactions."""
-    last = journal.groupBy("tx").agg(F.count("*").alias("records"), F.max_by("state", "seq").alias("last"))
-    j = last.agg(F.sum("records").alias("journal_records"), F.count_if(~F.col("last").isin("committed", "aborted")).alias("open_txs"))
-    out = j
-    for df, name in ((disks, "disks"), (files, "files"), (extents, "extents")):
+def status(disks: DataFrame, files: DataFrame, extents: DataFrame, journal: DataFrame, plan: DataFrame, violations: DataFrame, admission: DataFrame) -> DataFrame:
+    """One row: health by admission, counts of the catalog, what recovery did, disks that aren't online, violations."""
+    a = F.col("action")
+    done = plan.agg((F.count_if(a.isin("abort", "roll-forward", "repair")) > 0).alias("journal_requires_replay"), F.count_if(a.isin("roll-forward", "repair")).alias("recovered_transactions"), F.count_if(a == "abort").alias("aborted_transactions"))
+    down = F.when(~F.col("health").isin("", "online"), F.col("disk_id"))
+    out = admission.select(F.when(F.col("status") == "refuse", "error").otherwise(F.col("status")).alias("status")).join(done, F.lit(True))
+    out = out.join(disks.agg(F.array_join(F.sort_array(F.collect_set(down)).cast("array<string>"), ",").alias("failed_disks")), F.lit(True))
+    for df, name in ((files, "managed_files"), (extents, "allocated_extents"), (journal, "journal_records"), (violations, "invariant_violations")):
         out = out.join(df.agg(F.count("*").alias(name)), F.lit(True))
     return out
 

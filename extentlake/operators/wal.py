@@ -75,6 +75,11 @@ def admission(reasons: DataFrame) -> DataFrame:
     return reasons.agg(F.when(hard > 0, "refuse").when(soft > 0, "degraded").otherwise("ok").alias("status"), F.when(hard > 0, hard).otherwise(soft).alias("n_reasons"))
 
 
+def replay_flags(transactions: DataFrame) -> DataFrame:
+    """J3: transactions of the catalog that recovery left with replay_required."""
+    return transactions.where("replay_required").select(F.lit("J3").alias("code"), F.lit("journal").alias("kind"), F.col("tx").cast("string").alias("entity"))
+
+
 def readiness(draining: Column, admission_status: Column, startup_error: Column, requires_replay: Column) -> Column:
     return F.when(draining, "draining").when(admission_status == "refuse", "startup refused").when(startup_error != "", "startup error").when(requires_replay, "journal requires replay").otherwise("ready")
 

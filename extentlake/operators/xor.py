@@ -64,7 +64,9 @@ def xor_blobs(blobs: DataFrame, key: str = "pg", content: str = "content") -> Da
             yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.binary())], [key, "parity"])
 
     rows = blobs.select(F.col(key).cast("long").alias(key), F.col(content).alias("content")).where(F.col(key).isNotNull())
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} long, parity binary")
+    # By a hash of the key: a plain key would be dropped where a join below has dealt the rows by it, and adaptive execution may
+    # take that join's exchange away afterwards.
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key).mapInArrow(run, f"{key} long, parity binary")
 
 
 def reconstruct(lanes: DataFrame, parity: DataFrame, targets: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ SCRUB_HISTORY = 32
 
 @query("agg28_scrub_history", "", """
 SELECT o_orderkey AS run_id, o_custkey AS pool, CASE WHEN o_orderstatus = 'P' THEN 'in_progress' ELSE 'completed' END AS status, CAST(k AS BIGINT) AS k FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k <= 4""")
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k <= 32""")
 def _(p):
     from pyspark.sql import Window as W
 
@@ -233,7 +233,7 @@ def _(p):
     return wal.illegal_transitions(p.journal())
 
 
-@query("wal10_admission", "journal disks", """r AS (SELECT true AS hard FROM (SELECT tx, arg_max(state, seq) AS last FROM journal GROUP BY tx) WHERE last NOT IN ('committed', 'aborted') AND tx % 1000 = 0
+@query("wal10_admission", "journal disks", """r AS (SELECT true AS hard FROM (SELECT tx, arg_max(state, seq) AS last FROM journal GROUP BY tx) WHERE last NOT IN ('committed', 'aborted')
   UNION ALL SELECT false FROM disks WHERE health = 'failed')
 --
 SELECT CASE WHEN h > 0 THEN 'refuse' WHEN s > 0 THEN 'degraded' ELSE 'ok' END AS status, CASE WHEN h > 0 THEN h ELSE s END AS n_reasons FROM (SELECT count(*) FILTER (hard) AS h, count(*) FILTER (NOT hard) AS s FROM r)""")
@@ -376,10 +376,14 @@ def _(p):
     return placement.append_extents(p.files().select("file_id", (F.col("file_id") % 1000).alias("existing"), (F.col("file_id") % 11 * 4096).alias("append")), 16384, 7)
 
 
-@query("plc03_relocate", "ext disks", """load AS (SELECT data_disk, count(*) AS n FROM ext GROUP BY data_disk),
-r AS (SELECT disk_id, row_number() OVER (ORDER BY coalesce(n, 0), free DESC, disk_id) - 1 AS rank, count(*) OVER () AS total FROM disks LEFT JOIN load ON data_disk = disk_id WHERE role = 'data' AND health = 'online' AND disk_id <> 5)
+@query("plc03_relocate", "ext disks", """RECURSIVE m AS (SELECT extent_no, length, row_number() OVER (ORDER BY extent_no) AS i FROM ext WHERE data_disk = 5),
+load AS (SELECT data_disk, count(*) AS n FROM ext GROUP BY data_disk),
+d AS (SELECT list(disk_id ORDER BY disk_id) AS ids, list(free ORDER BY disk_id) AS frees, list(coalesce(n, 0) ORDER BY disk_id) AS loads FROM disks LEFT JOIN load ON data_disk = disk_id WHERE role = 'data' AND health = 'online' AND disk_id <> 5),
+f AS (SELECT CAST(0 AS BIGINT) AS i, loads, CAST(NULL AS BIGINT) AS extent_no, CAST(NULL AS BIGINT) AS pick FROM d
+  UNION ALL SELECT i, list_transform(loads, lambda l, k: l + CAST(k = pick AS BIGINT)), extent_no, pick FROM (
+    SELECT m.i, f.loads, m.extent_no, list_sort(list_filter(list_transform(range(1, len(ids) + 1), lambda k: {'a': f.loads[k], 'b': -frees[k], 'k': k}), lambda t: -t.b >= m.length))[1].k AS pick FROM f JOIN m ON m.i = f.i + 1, d))
 --
-SELECT extent_no, disk_id AS new_disk FROM ext JOIN r ON extent_no % total = rank WHERE data_disk = 5""")
+SELECT extent_no, ids[pick] AS new_disk FROM f, d WHERE i > 0""")
 def _(p):
     return placement.relocate(p.extents(), p.disks(), 5)
 
@@ -499,13 +503,25 @@ def _(p):
     return state.first_requests(p.table("events").select("event_id", "ts", F.concat("event_type", F.col("user_id").cast("string")).alias("k")), "k", ["ts", "event_id"])
 
 
-@query("str03_breaker")
+@query("str03_breaker", "", """RECURSIVE r AS (SELECT user_id AS disk, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id) AS i FROM events),
+f AS (SELECT DISTINCT disk, CAST(0 AS BIGINT) AS i, 'closed' AS state, CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS rejected FROM r
+  UNION ALL SELECT r.disk, r.i, CASE WHEN state = 'open' AND sec - last <= 60 THEN 'open' WHEN NOT failed THEN 'closed' WHEN failures + 1 >= 3 THEN 'open' WHEN state = 'open' THEN 'half-open' ELSE state END,
+    CASE WHEN state = 'open' AND sec - last <= 60 THEN failures WHEN failed THEN failures + 1 ELSE 0 END, CASE WHEN (state <> 'open' OR sec - last > 60) AND failed THEN sec ELSE last END, rejected + CAST(state = 'open' AND sec - last <= 60 AS BIGINT)
+  FROM f JOIN r ON r.disk = f.disk AND r.i = f.i + 1)
+--
+SELECT disk, arg_max(state, i) AS final_state, arg_max(failures, i) AS failures, arg_max(rejected, i) AS rejected FROM f GROUP BY disk""")
 def _(p):
     second = F.unix_timestamp(F.col("ts").cast("timestamp"))
     return state.final_breaker(p.samples().select("disk", second.alias("second"), "event_id", (F.col("event_type") == "error").alias("failed")))
 
 
-@query("str04_health_fsm")
+@query("str04_health_fsm", "", """RECURSIVE r AS (SELECT user_id AS disk, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT disk, CAST(0 AS BIGINT) AS i, 'ok' AS status, CAST(0 AS BIGINT) AS failures FROM r
+  UNION ALL SELECT r.disk, r.i, CASE WHEN failed THEN CASE WHEN failures + 1 >= 3 THEN 'failing' ELSE 'suspect' END WHEN failures - CAST(failures > 0 AND status = 'suspect' AS BIGINT) = 0 THEN 'ok' ELSE status END,
+    CASE WHEN failed THEN failures + 1 ELSE failures - CAST(failures > 0 AND status = 'suspect' AS BIGINT) END
+  FROM f JOIN r ON r.disk = f.disk AND r.i = f.i + 1)
+--
+SELECT disk, arg_max(status, i) AS final_state, arg_max(failures, i) AS failures FROM f GROUP BY disk""")
 def _(p):
     return state.final_health(p.samples().select("disk", "ts", "event_id", (F.col("event_type") == "error").alias("failed")))
 

@@ -30,12 +30,12 @@ def _(p):
     return p.table("orders").groupBy(F.col("o_custkey").alias("pool")).agg(((F.count("*") > 0) & F.bool_and(e.contains("file missing or unreadable"))).alias("recoverable"))
 
 
-@query("fil14_affected_ids", "ext", "SELECT file_id, string_agg(CAST(extent_no AS VARCHAR), ',' ORDER BY extent_no) AS ids FROM ext WHERE file_id % 20 = 0 GROUP BY file_id")
+@query("fil14_affected_ids", "ext", "SELECT file_id, string_agg(CAST(extent_no AS VARCHAR), ',' ORDER BY extent_no) AS ids FROM ext GROUP BY file_id")
 def _(p):
     return p.extents().groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("extent_no")), lambda v: v.cast("string")), ",").alias("ids"))
 
 
-@query("fil15_write_requests", "", """SELECT o_orderkey AS request, CASE WHEN o_orderkey % 11 = 0 THEN 'path required' WHEN o_orderkey % 13 = 0 THEN 'negative size' WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 THEN 'payload required' WHEN o_orderkey % 17 = 0 THEN 'unsupported codec' END AS error FROM orders""")
+@query("fil15_write_requests", "", """SELECT o_orderkey AS request, CASE WHEN o_orderkey % 11 = 0 THEN 'path required' WHEN o_orderkey % 13 = 0 AND o_orderkey % 3 = 0 THEN 'negative size' WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 THEN 'payload required' WHEN o_orderkey % 17 = 0 THEN 'unsupported codec' END AS error FROM orders""")
 def _(p):
     k = F.col("o_orderkey")
     e = requests.write_error(F.when(k % 11 == 0, "").otherwise("/x"), F.when(k % 13 == 0, -1).otherwise(1), k % 3 != 0, k % 2 == 0, F.when(k % 17 == 0, "brotli").otherwise("zstd"))
@@ -119,9 +119,18 @@ def _(p):
 # Rollups
 
 
-@query("agg08_status", "ext files disks journal", "SELECT (SELECT count(*) FROM journal) AS journal_records, (SELECT count(*) FROM (SELECT arg_max(state, seq) AS last FROM journal GROUP BY tx) WHERE last NOT IN ('committed', 'aborted')) AS open_txs, (SELECT count(*) FROM disks) AS disks, (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM ext) AS extents")
+@query("agg08_status", "ext files disks journal", """t AS (SELECT tx, arg_max(state, seq) AS last, arg_max(state, seq) FILTER (state <> 'replay-required') AS worked, arg_max(repair, seq) AS repair FROM journal GROUP BY tx),
+e AS (SELECT repair, last, CASE WHEN last = 'replay-required' THEN worked ELSE last END AS s FROM t)
+--
+SELECT CASE WHEN (SELECT count(*) FROM disks WHERE health = 'failed') > 0 THEN 'degraded' ELSE 'ok' END AS status, (SELECT count(*) FROM files) AS managed_files, (SELECT count(*) FROM ext) AS allocated_extents, (SELECT count(*) FROM journal) AS journal_records,
+  count(*) FILTER (s NOT IN ('committed', 'aborted')) > 0 AS journal_requires_replay, count(*) FILTER (s NOT IN ('committed', 'aborted') AND (repair OR s <> 'prepared')) AS recovered_transactions, count(*) FILTER (NOT repair AND s = 'prepared') AS aborted_transactions,
+  (SELECT string_agg(CAST(disk_id AS VARCHAR), ',' ORDER BY disk_id) FROM disks WHERE health NOT IN ('', 'online')) AS failed_disks, (SELECT count(*) FROM ext WHERE extent_no % 307 = 0) AS invariant_violations FROM e""")
 def _(p):
-    return rollup.status(p.disks(), p.files(), p.table("lineitem").select("l_orderkey"), p.journal())
+    from ..operators import checks
+
+    x = p.extents().select("extent_no", F.when(F.col("extent_no") % 307 == 0, -F.col("length")).otherwise(F.col("length")).alias("length"))
+    admission = wal.admission(p.disks().where("health = 'failed'").select(F.lit(False).alias("hard")))
+    return rollup.status(p.disks(), p.files(), p.table("lineitem").select("l_orderkey"), p.journal(), wal.recovery_plan(p.journal()), checks.positive_length(x), admission)
 
 
 @query("agg09_recovery_status", "journal", """t AS (SELECT tx, arg_max(state, seq) AS last, arg_max(state, seq) FILTER (state <> 'replay-required') AS worked, arg_max(repair, seq) AS repair FROM journal GROUP BY tx),
@@ -139,7 +148,12 @@ def _(p):
     return p.journal().groupBy("tx").agg(F.array_join(states.getField("state"), ">").alias("states"), F.min("seq").alias("first_seq"))
 
 
-@query("agg25_simulator", "", "SELECT CAST(1 AS BIGINT) AS mismatches, CAST(1 AS BIGINT) AS recoveries, true AS all_healthy")
+@query("agg25_simulator", "", """m AS (SELECT d, e, j, CAST('0x' || substr(sha256('7|' || d || '|' || e), CAST(8 * j + 1 AS INT), 8) AS BIGINT) AS word FROM unnest(range(3)) AS a(d), unnest(range(8)) AS b(e), unnest(range(8)) AS c(j)),
+n AS (SELECT *, CASE WHEN d = 1 AND e = 3 AND j = 0 THEN xor(word, 255) ELSE word END AS now FROM m),
+s AS (SELECT e, j, bit_xor(word) AS parity, bit_xor(now) AS total FROM n GROUP BY e, j),
+p AS (SELECT d, e, bool_or(now <> word) AS bad, bool_and(xor(xor(parity, total), now) = word) AS can FROM n JOIN s USING (e, j) GROUP BY d, e)
+--
+SELECT count(*) FILTER (bad) AS mismatches, count(*) FILTER (bad AND can) AS recoveries, bool_and(NOT bad OR can) AS all_healthy FROM p""")
 def _(p):
     return maintenance.simulate(maintenance.simulator(3, 8, p.spark), 1, 3)
 
@@ -156,9 +170,11 @@ def _(p):
 # Journal and lifecycle
 
 
-@query("wal09_j3_flags", "journal", "SELECT tx FROM journal GROUP BY tx HAVING arg_max(state, seq) NOT IN ('committed', 'aborted')")
+@query("wal09_j3_flags", "", "SELECT 'J3' AS code, 'journal' AS kind, CAST(o_orderkey AS VARCHAR) AS entity FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 5 = 0")
 def _(p):
-    return p.journal().groupBy("tx").agg(F.max_by("state", "seq").alias("last")).where("last NOT IN ('committed', 'aborted')").select("tx")
+    # The catalog's transactions, not the journal's: the flag is what recovery leaves behind.
+    t = p.table("orders").select(F.col("o_orderkey").alias("tx"), ((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 5 == 0)).alias("replay_required"))
+    return wal.replay_flags(t)
 
 
 @query("wal11_readiness", "", "SELECT o_orderkey AS node, CASE WHEN o_orderkey % 5 = 0 THEN 'draining' WHEN o_orderkey % 3 = 0 THEN 'startup refused' WHEN o_orderkey % 7 = 0 THEN 'startup error' WHEN o_orderkey % 2 = 0 THEN 'journal requires replay' ELSE 'ready' END AS state FROM orders")
@@ -246,9 +262,12 @@ def _(p):
     return requests.exposition(m.withColumns({"help": F.lit("Events seen"), "kind": F.lit("counter")}), "pool")
 
 
-@query("snk15_health_report", "disks", "SELECT disk_id, 'Disk: ' || disk_id || chr(10) || '  Status: ' || health || chr(10) || '  Failures: ' || disk_id % 4 || CASE WHEN disk_id % 3 = 0 THEN chr(10) || '  Last Error: timeout' ELSE '' END AS report FROM disks")
+@query("snk15_health_report", "disks", """SELECT '=== Pool Health Report ===' || chr(10) || chr(10) || string_agg('Disk: ' || disk_id || chr(10) || '  Status: ' || health || chr(10) || '  Failures: ' || disk_id % 4 || chr(10) || '  Last Check: 2024-01-02T03:04:05Z' || chr(10)
+  || CASE WHEN disk_id % 3 = 0 THEN '  Last Error: timeout' || chr(10) ELSE '' END || CASE WHEN disk_id % 2 = 0 THEN '  Temperature: ' || disk_id % 50 || '°C' || chr(10) || '  Reallocated Sectors: ' || disk_id % 7 || chr(10) || '  Power On Hours: ' || disk_id * 24 || chr(10) ELSE '' END || chr(10), '' ORDER BY disk_id) AS report FROM disks""")
 def _(p):
-    d = p.disks().select("disk_id", F.col("health").alias("status"), (F.col("disk_id") % 4).alias("failures"), F.when(F.col("disk_id") % 3 == 0, "timeout").otherwise("").alias("error"))
+    k = F.col("disk_id")
+    smart = F.when(k % 2 == 0, F.struct((k % 50).alias("celsius"), (k % 7).alias("reallocated"), (k * 24).alias("hours")))
+    d = p.disks().select("disk_id", F.col("health").alias("status"), (k % 4).alias("failures"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("checked"), F.when(k % 3 == 0, "timeout").otherwise("").alias("error"), smart.alias("smart"))
     return requests.health_report(d)
 
 

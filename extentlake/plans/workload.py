@@ -100,4 +100,7 @@ def sql(tables: str, body: str) -> str:
     """``body`` (more common table expressions may stand before its SELECT, split off by a line ``--``) over model tables."""
     more, _, main = body.rpartition("\n--\n")
     head = [*(_CTE[t] for t in tables.split()), *([more] if more else [])]
-    return ("WITH " + ",\n".join(head) + "\n" if head else "") + main
+    # A recursive expression says so at its beginning; the word belongs to the whole list.
+    recursive = more.startswith("RECURSIVE ")
+    head = [h.removeprefix("RECURSIVE ") for h in head]
+    return ("WITH " + "RECURSIVE " * recursive + ",\n".join(head) + "\n" if head else "") + main

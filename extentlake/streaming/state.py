@@ -62,7 +62,8 @@ def _fold(rows: DataFrame, key: str, order: list[str], start, step, schema: str,
         if state is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(names, finish(now, state)))])
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    # By a hash: an exchange by the plain key may be dropped for one below that adaptive execution takes away later.
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def final_health(checks: DataFrame) -> DataFrame:
