@@ -86,3 +86,48 @@ def smart_attribute(report: Column, attribute_id: int) -> Column:
     """Last value of an attribute in a report of ``"id":N,"name":"...","value":N`` entries; 0 if there is none."""
     found = F.regexp_extract_all(report, F.lit(rf'"id":{attribute_id},"name":"\w+","value":(\d+)'), 1)
     return F.coalesce(F.try_element_at(found, F.lit(-1)).cast("long"), F.lit(0))
+
+
+def is_healthy(status: Column) -> Column:
+    return status.isin("ok", "suspect")
+
+
+def mirror_path(root: Column, path: Column, disk: Column) -> Column:
+    """Where the copy of a blob lies: below the mirror's folder, with the extension once more behind ``.mirror``."""
+    return F.concat_ws("/", root, F.lit("mirror"), disk, F.concat(path, F.lit(".mirror"), F.regexp_extract(path, r"(\.[^./]*)$", 1)))
+
+
+def relocated_path(path: Column, disk: Column) -> Column:
+    """The path with its two folders named after the disk; paths of fewer than four parts stay."""
+    parts = F.split(path, "/")
+    moved = F.concat(F.slice(parts, 1, 1), F.array(F.substring(disk, 1, 2), F.substring(disk, 3, 2)), F.slice(parts, F.lit(4), F.size(parts)))
+    return F.when(F.size(parts) >= 4, F.array_join(moved, "/")).otherwise(path)
+
+
+def tx_id(prefix: str, number: Column) -> Column:
+    """A transaction's id; the number is the caller's, so that a repeated run gives the same ids."""
+    return F.concat(F.lit(f"{prefix}-"), number.cast("string"))
+
+
+def contains_any(text: Column, characters: str) -> Column:
+    return F.translate(text, characters, "") != text
+
+
+def milliseconds(seconds: Column) -> Column:
+    return seconds * 1000
+
+
+def joined_errors(current: Column, following: Column) -> Column:
+    return F.when(current == "", following).otherwise(F.concat_ws("; ", current, following))
+
+
+def health_status(draining: Column, admission: Column) -> Column:
+    return F.when(draining, "draining").when(admission == "refuse", "error").when(admission == "degraded", "degraded").otherwise("ok")
+
+
+def extent_path_blake3(path: Column, number: Column) -> Column:
+    """As ``extent_path``, with the digest that blobs on disk are named by."""
+    from .blake3 import blake3_hex
+
+    h = blake3_hex(path.cast("binary"))
+    return F.concat(F.lit("data/"), F.substring(h, 1, 2), F.lit("/"), F.substring(h, 3, 2), F.format_string("/extent-%06d.bin", number))

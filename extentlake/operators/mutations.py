@@ -64,3 +64,22 @@ def assembled(parts: DataFrame) -> DataFrame:
     """file_id, size, digest of the concatenation of extents' contents by offset (a file's row is one value)."""
     p = F.array_sort(F.collect_list(F.struct("logical_offset", "content")))
     return parts.groupBy("file_id").agg(F.array_join(p.getField("content"), "").alias("content")).select("file_id", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
+def on_disk(extents: DataFrame, disk_id: int) -> DataFrame:
+    """Extents with data or a mirror on a disk."""
+    return extents.where((F.col("data_disk") == disk_id) | (F.col("mirror_disk") == disk_id))
+
+
+def without_extents(groups: DataFrame, removed: DataFrame) -> DataFrame:
+    """pg, members without the removed extents, freed bytes; a group that loses all stays, empty."""
+    r = removed.groupBy("pg").agg(F.collect_list("extent_no").alias("_gone"), F.sum("length").alias("freed"))
+    g = groups.join(r, "pg", "left")
+    return g.select("pg", F.array_except("members", F.coalesce("_gone", F.array().cast("array<bigint>"))).alias("members"), F.coalesce("freed", F.lit(0).cast("long")).alias("freed"))
+
+
+def exclusions(disks: DataFrame, health: DataFrame, extents: DataFrame) -> DataFrame:
+    """disk_id, to_move: data disks that the health checks left failing, and how many extents have data or a mirror there."""
+    out = disks.where("role = 'data'").select("disk_id").join(health.where("final_state = 'failing'").select(F.col("disk").alias("disk_id")), "disk_id", "left_semi")
+    places = extents.select(F.explode(F.array_distinct(F.array("data_disk", "mirror_disk"))).alias("disk_id")).groupBy("disk_id").agg(F.count("*").alias("to_move"))
+    return out.join(places, "disk_id", "left").na.fill(0, ["to_move"])

@@ -91,3 +91,28 @@ def encoding_violations(df: DataFrame, key: str, texts: list[str], limit: int =
 def catalog_json(disks: DataFrame) -> DataFrame:
     """disk_id, json: rows of a catalog as JSON objects."""
     return disks.select("disk_id", F.to_json(F.struct("disk_id", "role", "health")).alias("json"))
+
+
+# The operations of the command interface by category.
+OPERATIONS = {
+    "info": ("ping", "version", "health", "host-info", "system-stats", "operations"),
+    "metrics": ("metrics", "prometheus", "disk-stats", "pool-stats", "memory-pool-stats", "locks", "config-get"),
+    "maintenance": ("check-consistency", "repair-metadata", "compact-journal", "export-journal", "validate-config"),
+    "recovery": ("migrate-disk", "recovery-status", "scrub", "scrub-history", "rebuild", "rebuild-all"),
+    "data": ("backup", "restore", "export-metadata", "import-metadata"),
+    "io": ("write", "read", "bulk-write", "bulk-read", "reload-config"),
+}
+
+
+def operations(spark) -> DataFrame:
+    """category, n of the operations, and their total."""
+    rows = [(c, o) for c, names in OPERATIONS.items() for o in names]
+    return spark.createDataFrame(rows, "category string, operation string").rollup("category").agg(F.count("*").cast("int").alias("n")).select(F.coalesce("category", F.lit("total")).alias("category"), "n")
+
+
+def commands(lines: DataFrame) -> DataFrame:
+    """event_id, op, disk, error_code of command lines (JSON with op and params); a line that is no such object has the code of
+    invalid params."""
+    c = lines.select("event_id", F.from_json("line", "op string, params struct<disk: bigint>").alias("c"))
+    bad = F.col("c.op").isNull()
+    return c.select("event_id", F.when(~bad, F.col("c.op")).alias("op"), F.when(~bad, F.col("c.params.disk")).alias("disk"), F.when(bad, ERROR_CODES["invalid params"]).otherwise(0).alias("error_code"))

@@ -100,3 +100,10 @@ def recovery_counts(plan: DataFrame, journal: DataFrame) -> DataFrame:
     a = F.col("action")
     p = plan.agg(F.count_if(a.isin("abort", "roll-forward", "repair")).alias("attempted"), F.count_if(a.isin("roll-forward", "repair")).alias("recovered"), F.count_if(a == "abort").alias("aborted"))
     return p.join(journal.agg(F.count("*").alias("records")), F.lit(True))
+
+
+def snapshot_digest(rows: DataFrame, pool: str, order: str, columns: list[str]) -> DataFrame:
+    """pool, digest of its rows' canonical text, a line each in order (a pool's catalog is one value)."""
+    line = F.concat_ws(":", *[F.col(c).cast("string") for c in columns])
+    lines = F.array_sort(F.collect_list(F.struct(order, line.alias("line"))))
+    return rows.groupBy(pool).agg(F.sha2(F.array_join(lines.getField("line"), "\n"), 256).alias("digest"))

@@ -87,3 +87,15 @@ def readiness(draining: Column, admission_status: Column, startup_error: Column,
 def state_code(state: Column) -> Column:
     """Codes 1 to 7 of the states; 0 for an unknown one."""
     return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in STATES]), state), F.lit(0)), F.lit(0))
+
+
+def export(journal: DataFrame) -> DataFrame:
+    """One row: total_records, incomplete_txs, requires_replay."""
+    t = journal.groupBy("tx").agg(F.count("*").alias("n"), F.max_by("state", "seq").alias("last"))
+    open_ = F.count_if(~F.col("last").isin("committed", "aborted"))
+    return t.agg(F.sum("n").alias("total_records"), open_.alias("incomplete_txs"), (open_ > 0).alias("requires_replay"))
+
+
+def visible(plan: DataFrame) -> DataFrame:
+    """tx, recovered: writes that a reader sees once recovery ran, and whether it took recovery to see them."""
+    return plan.where("action IN ('reconcile', 'roll-forward')").select("tx", (F.col("action") != "reconcile").alias("recovered"))

@@ -26,7 +26,9 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _decoded(spark: SparkSession, path: str, schema: str, rows: Callable[[str, bytes], list[dict]]) -> DataFrame:
+def _decoded(spark: SparkSession, path: str | DataFrame, schema: str, rows: Callable[[str, bytes], list[dict]]) -> DataFrame:
+    """``path``: files, or a frame (path, content) of what they hold."""
+    files = path.select("path", "content") if isinstance(path, DataFrame) else _files(spark, path)
     kind = spark.createDataFrame([], schema).schema
     arrow = to_arrow_schema(kind)
 
@@ -35,10 +37,10 @@ def _decoded(spark: SparkSession, path: str, schema: str, rows: Callable[[str, b
             for name, content in zip(*(c.to_pylist() for c in batch.columns)):
                 yield pa.RecordBatch.from_pylist(rows(name, content), schema=arrow)
 
-    return _files(spark, path).mapInArrow(run, kind)
+    return files.mapInArrow(run, kind)
 
 
-def snapshot(spark: SparkSession, path: str, table: str) -> DataFrame:
+def snapshot(spark: SparkSession, path: str | DataFrame, table: str) -> DataFrame:
     """One table (pool, disks, files, extents, parity_groups, transactions, scrub_history) of the snapshots at ``path``."""
     fields = formats.POOL if table == "pool" else formats.TABLES[table]
 
@@ -50,18 +52,18 @@ def snapshot(spark: SparkSession, path: str, table: str) -> DataFrame:
     return df.withColumns({c: F.lit("") for c in _UNSTORED.get(table, [])})
 
 
-def journal(spark: SparkSession, path: str, mode: str = "DROP_TORN_TAIL") -> DataFrame:
+def journal(spark: SparkSession, path: str | DataFrame, mode: str = "DROP_TORN_TAIL") -> DataFrame:
     """Records with their place in the file; ``FAILFAST`` makes a torn tail an error."""
     drop = {"DROP_TORN_TAIL": True, "FAILFAST": False}[mode]
     return _decoded(spark, path, _JOURNAL, lambda _, content: list(formats.read_journal(content, drop)))
 
 
-def rebuild_progress(spark: SparkSession, path: str) -> DataFrame:
+def rebuild_progress(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """extent_id of every extent that a rebuild has done."""
     return _decoded(spark, path, "extent_id string", lambda _, c: [{"extent_id": i} for i in formats.read_rebuild_progress(c)["completed_extents"]])
 
 
-def scrub_progress(spark: SparkSession, path: str) -> DataFrame:
+def scrub_progress(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """kind (extent or parity_group) and id of everything that a scrub has done."""
 
     def rows(_, content):
@@ -71,7 +73,7 @@ def scrub_progress(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, "kind string, id string", rows)
 
 
-def validate(spark: SparkSession, path: str) -> DataFrame:
+def validate(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """path, severity, kind, message: what is wrong with the files at ``path``, told apart by their magic; a sound file has no row."""
     checks = {formats.SNAPSHOT_MAGIC: ("metadata", formats.read_snapshot), formats.REBUILD_MAGIC: ("rebuild", formats.read_rebuild_progress), formats.SCRUB_MAGIC: ("scrub", formats.read_scrub_progress)}
 
@@ -91,3 +93,40 @@ def validate(spark: SparkSession, path: str) -> DataFrame:
 def catalog_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A catalog that was exported as JSON, with a fixed schema."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def _encoded(rows: DataFrame, key: str, encode: Callable[[list[dict]], bytes]) -> DataFrame:
+    """path, content: one file for each key, made of its rows; a file is bounded by its format's 16-bit counts or by the journal
+    of one pool."""
+
+    def run(t: pa.Table) -> pa.Table:
+        got = t.to_pylist()
+        return pa.table({"path": pa.array([str(got[0][key])]), "content": pa.array([encode(got)], pa.binary())})
+
+    return rows.groupBy(key).applyInArrow(run, "path string, content binary")
+
+
+def snapshot_files(files: DataFrame, pool: str, saved_ns: int) -> DataFrame:
+    """Snapshots of pools: ``files`` holds the column ``pool`` and those of the format's table of files."""
+
+    def encode(rows: list[dict]) -> bytes:
+        name = str(rows[0][pool])
+        head = {"pool_id": name, "name": name, "version": "v1", "extent_size_bytes": 4096, "parity_mode": "single", "created_ns": saved_ns}
+        return formats.write_snapshot({"pool": head, "files": sorted(rows, key=lambda r: r["file_id"])}, saved_ns)
+
+    return _encoded(files, pool, encode)
+
+
+def journal_files(records: DataFrame, pool: str) -> DataFrame:
+    """Journals of pools from records (pool, seq, tx_id, state), in order of ``seq``."""
+
+    def encode(rows: list[dict]) -> bytes:
+        empty = {"ts_ns": 0, "old_generation": 0, "new_generation": 0, "pool_name": str(rows[0][pool]), "logical_path": "", "affected_extent_ids": [], "file": None, "extents": []}
+        return b"".join(formats.write_record(empty | {"tx_id": r["tx_id"], "state": r["state"]}) for r in sorted(rows, key=lambda r: r["seq"]))
+
+    return _encoded(records, pool, encode)
+
+
+def progress_files(done: DataFrame, pool: str, updated_ns: int) -> DataFrame:
+    """Checkpoints of rebuilds: the extents (pool, extent_id) that are done."""
+    return _encoded(done, pool, lambda rows: formats.write_rebuild_progress(sorted(r["extent_id"] for r in rows), updated_ns))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from extentlake.plans import catalog, catalog_more, catalog_state  # noqa: F401
+from extentlake.plans import catalog, catalog_files, catalog_more, catalog_state  # noqa: F401
 
 from .oracle import same
 

@@ -210,3 +210,48 @@ def test_admission_counts_every_open_transaction(spark, tmp_path):
     spark.createDataFrame([(tx, "O" if tx < 4 else "F") for tx in range(1, 8)], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(11,), (12,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     assert [tuple(r) for r in catalog.QUERIES["wal10_admission"](spark, str(tmp_path)).collect()] == [("refuse", 3)]
+
+
+def test_blake3_paths_of_the_whole_table(spark):
+    """The vectorised digests against the plain ones."""
+    from extentlake.functions.blake3 import _node, ROOT
+    from extentlake.plans import catalog, catalog_files  # noqa: F401
+
+    rows = catalog.QUERIES["fn15_extent_path_blake3"](spark, "/root/testdata/sf0.001").collect()
+    digest = {f: b"".join(w.to_bytes(4, "little") for w in _node(f.encode(), 0, ROOT)).hex() for f in {r.file for r in rows}}
+    assert len(rows) > 5000 and all(r.path == f"data/{digest[r.file][:2]}/{digest[r.file][2:4]}/extent-{r.extent_no:06d}.bin" for r in rows)
+
+
+def test_greedy_placement_of_the_whole_table(spark):
+    """Every file on its own, all disks looked at for every extent."""
+    from extentlake.plans import catalog
+    from extentlake.plans.workload import Pool
+
+    p = Pool(spark, "/root/testdata/sf0.001")
+    disks = [(r.disk_id, r.free) for r in p.disks().collect() if r.role == "data" and r.health == "online" and r.free > 0]
+    files = {}
+    for r in p.extents().collect():
+        files.setdefault(r.file_id, []).append((r.extent_no, r.pg, r.length))
+    want = []
+    for rows in files.values():
+        count, free, used = dict.fromkeys((d for d, _ in disks), 0), dict(disks), {}
+        for extent, pg, length in sorted(rows):
+            open_ = [d for d in free if free[d] > 0]
+            fresh = [d for d in open_ if d not in used.get(pg, ())] or open_
+            d = sorted(fresh, key=lambda d: (count[d], -free[d], d))[0]
+            count[d] += 1
+            free[d] -= length
+            used.setdefault(pg, set()).add(d)
+            want.append((extent, d))
+    got = catalog.QUERIES["plc01_greedy_placement"](spark, "/root/testdata/sf0.001")
+    assert sorted(tuple(r) for r in got.select("extent_no", "disk_id").collect()) == sorted(want)
+
+
+def test_groups_stay_whole_behind_a_join(spark):
+    """Adaptive execution may replace a join's exchange; a group's sum must not be split by that."""
+    from extentlake.operators.xor import xor_blobs
+
+    a = spark.range(3000).selectExpr("id % 700 AS pg", "cast(cast(id AS string) AS binary) AS content")
+    some = spark.range(700).where("id % 3 = 0").select((F.col("id")).alias("pg")).groupBy("pg").count().select("pg")
+    got = xor_blobs(a.join(some, "pg", "left_semi")).collect()
+    assert len(got) == len({r.pg for r in got}) == 234
