@@ -37,9 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. A local session may do without that setting, as in tests; on a
+    cluster a machine's own folder would lose data without a word, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         base = getattr(spark, "_extentlake_scratch", None)
         if base is None:
             base = spark._extentlake_scratch = tempfile.mkdtemp(prefix="extentlake-")
@@ -67,7 +70,7 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
+        """Delete tables that no later step reads; tables that were never written are passed over."""
         jvm = self.spark._jvm
         for name in names:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))

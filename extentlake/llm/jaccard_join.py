@@ -509,6 +509,8 @@ class JaccardJoin:
         nodes = self.scratch.save(nodes, "nodes")
         least = nodes.groupBy("comp").agg(F.min(F.struct("rep", "text_hash")).alias("least")).select("comp", F.col("least.rep").alias("component_id"), F.col("least.text_hash").alias("least_hash"))
         led = self.scratch.save(nodes.join(least, "comp").select("n", "k1", "k2", F.col("rep").alias("class_id"), "component_id", "least_hash"), "led")
+        # Only ``sets`` and ``led`` are read from here on.
+        self.scratch.drop("classes", "some", "held", "found", "pairs", "members", "verified-1", "verified-2", "grouped", "groups", "packed", "joined", "nodes")
         rows = self.sets.join(led, ["n", "k1", "k2"], "left")
         of = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
         leads = F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("least_hash")), F.lit(True))

@@ -336,6 +336,7 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY
     scratch = Scratch(spark, "packing")
     items = scratch.save(pieces(documents, path or tokenizer_path(), capacity), "pieces")
     first = scratch.save(pack_blocks(scratch, items, items.count(), capacity, "a"), "packed")
+    scratch.drop("pieces", "items-a", *(f"{name}-a-{k}" for name in ("epoch", "judged") for k in range(EPOCHS)))
     poor = F.col("fill") < POOR * capacity
     left, old = first.where(poor).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
     number = lambda k: F.col("block") * 65536 * 2 + F.col("bin") * 2 + k
@@ -343,6 +344,7 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY
     done = first.withColumn("sequence_id", number(0))
     if left:
         again = scratch.save(pack_blocks(scratch, first.where(poor).select(*items.columns), left, capacity, "b"), "repacked")
+        scratch.drop("items-b", *(f"{name}-b-{k}" for name in ("epoch", "judged") for k in range(EPOCHS)))
         if again.where("offset = 0").count() < old:
             done = done.where(~poor).select(columns).unionByName(again.withColumn("sequence_id", number(1)).select(columns))
     return done.select(columns)

@@ -9,6 +9,7 @@ the stack of the last end point at or before it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -75,7 +76,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = PRODUC
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     points = rows.where("host <> ''").select("host").distinct().select(host_key(F.col("host")).alias("key"), "host", F.lit(None).cast(STACK).alias("stack"))
-    ends = spark.createDataFrame(sweep_rules(rules), f"key string, stack {STACK}").select("key", F.lit(None).cast("string").alias("host"), "stack")
+    # A literal that the JVM parses: no Python rows on the way.
+    swept = json.dumps([{"key": key, "stack": [dict(zip(("len", "rule", "path", "verdict"), r)) for r in stack]} for key, stack in sweep_rules(rules)])
+    ends = spark.range(1).select(F.inline(F.from_json(F.lit(swept), f"array<struct<key:string,stack:{STACK}>>"))).select("key", F.lit(None).cast("string").alias("host"), "stack")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     is_point = F.col("host").isNotNull()
     # The ranges are written, so that the sweep inside them and what they hand on see the same cuts.
