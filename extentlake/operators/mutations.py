@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 def file_extents(files: DataFrame, extents: DataFrame, path: str) -> DataFrame:
     """The extents of one path, by offset; the filter reaches both scans."""
-    one = files.where(F.col("path") == path).select("file_id", "path")
+    return extents_of(files.where(F.col("path") == path), extents)
+
+
+def extents_of(files: DataFrame, extents: DataFrame) -> DataFrame:
+    one = files.select("file_id", "path")
     return one.join(extents, "file_id").select("path", "extent_no", "logical_offset", "length").orderBy("logical_offset")
 
 

@@ -129,26 +129,30 @@ _ALG = "CASE WHEN extent_no % 311 = 0 THEN 'crc32' ELSE 'blake3' END"
 _SUM = "CASE WHEN extent_no % 3 = 0 THEN '' ELSE 'x' END"
 
 
-def _extent_rules(p):
-    x = p.extents().select("extent_no", F.expr(_E3).alias("length"), F.expr(_ALG).alias("checksum_alg"), F.expr(_SUM).alias("checksum"))
+def _extents(p, x):
+    return p.extents() if x is None else x
+
+
+def _extent_rules(p, x=None):
+    x = _extents(p, x).select("extent_no", F.expr(_E3).alias("length"), F.expr(_ALG).alias("checksum_alg"), F.expr(_SUM).alias("checksum"))
     return checks.checksum_algorithm(x).unionByName(checks.positive_length(x))
 
 
-def _m1(p):
-    return checks.dangling_files(p.extents(), p.files().where("file_id % 97 <> 0"))
+def _m1(p, x=None):
+    return checks.dangling_files(_extents(p, x), p.files().where("file_id % 97 <> 0"))
 
 
-def _m2(p):
-    return checks.dangling_disks(p.extents(), p.disks().where("disk_id % 13 <> 0"))
+def _m2(p, x=None):
+    return checks.dangling_disks(_extents(p, x), p.disks().where("disk_id % 13 <> 0"))
 
 
-def _m3(p):
-    x = p.extents().select("extent_no")
+def _m3(p, x=None):
+    x = _extents(p, x).select("extent_no")
     return checks.duplicate_extents(x.unionByName(x.where("extent_no % 211 = 0")))
 
 
-def _p1(p):
-    x = p.extents().select("extent_no", "pg")
+def _p1(p, x=None):
+    x = _extents(p, x).select("extent_no", "pg")
     groups = x.select("pg").distinct().where("pg % 89 <> 0")
     members = x.unionByName(x.where("extent_no % 401 = 0").selectExpr("extent_no + 900 AS extent_no", "pg"))
     return checks.group_references(x, groups, members)
@@ -172,15 +176,16 @@ query("join03_p1_group_refs", "ext", _SQL_P1)(_p1)
 
 
 @query("chk07_p4_aliasing", "ext", _SQL_P4)
-def _p4(p):
-    return checks.aliased_members(p.extents().select("extent_no", "pg", "data_disk"))
+def _p4(p, x=None):
+    return checks.aliased_members(_extents(p, x).select("extent_no", "pg", "data_disk"))
 
 
 @query("set01_all_state_checks", "ext files disks", f"""SELECT CAST(o AS INTEGER) AS check_order, code, count(*) AS n FROM (
   SELECT 1 AS o, code FROM ({_SQL_RULES}) UNION ALL SELECT 2, code FROM ({_SQL_M1}) UNION ALL SELECT 3, code FROM ({_SQL_M2}) UNION ALL SELECT 4, code FROM ({_SQL_M3})
   UNION ALL SELECT 5, code FROM ({_SQL_P1}) UNION ALL SELECT 6, code FROM ({_SQL_P4})) GROUP BY o, code""")
 def _(p):
-    named = [(1, _extent_rules(p)), (2, _m1(p)), (3, _m2(p)), (4, _m3(p)), (5, _p1(p)), (6, _p4(p))]
+    x = p.stored_extents()
+    named = [(1, _extent_rules(p, x)), (2, _m1(p, x)), (3, _m2(p, x)), (4, _m3(p, x)), (5, _p1(p, x)), (6, _p4(p, x))]
     return checks.all_checks(named)
 
 
@@ -314,7 +319,7 @@ def _(p):
 
 @query("rec02_reconstruct", "ext lanes", "SELECT extent_no, lane, word AS value, true AS ok FROM lanes WHERE extent_no % 157 = 0")
 def _(p):
-    lanes = p.lanes()
+    lanes = p.lanes(p.stored_extents())
     targets = lanes.where("extent_no % 157 = 0").groupBy("extent_no", "pg").agg(F.count("*").alias("n_lanes"))
     got = xor.reconstruct(lanes, xor.xor_lanes(lanes), targets)
     return got.join(lanes.select("extent_no", "lane", "word"), ["extent_no", "lane"]).select("extent_no", "lane", "value", (F.col("value") == F.col("word")).alias("ok"))
@@ -393,8 +398,8 @@ def _(p):
 
 @query("fil03_file_extents", "ext files", "SELECT path, extent_no, logical_offset, length FROM ext JOIN files USING (file_id) WHERE path = (SELECT min(path) FROM files)")
 def _(p):
-    path = p.files().agg(F.min("path")).first()[0]
-    return mutations.file_extents(p.files(), p.extents(), path)
+    # The path is the result of an aggregate: one row, which is joined and not fetched.
+    return mutations.extents_of(p.files().join(F.broadcast(p.files().agg(F.min("path").alias("path"))), "path"), p.extents())
 
 
 @query("fil04_range_overlap", "ext", "SELECT file_id, extent_no, greatest(logical_offset, 100000) AS overlap_start, least(logical_offset + length, 300000) - greatest(logical_offset, 100000) AS overlap_len FROM ext WHERE logical_offset < 300000 AND logical_offset + length > 100000")

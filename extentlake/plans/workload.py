@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import STATES
+from ..sources.tables import shared_path
 
 _LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 #: 32-bit words of an extent's content: 1 to LANES.
@@ -21,7 +22,7 @@ class Pool:
     """The model's tables over one directory of Parquet tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._stored = spark, sf_dir, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -36,6 +37,14 @@ class Pool:
             F.col("l_suppkey").alias("data_disk"), (F.col("l_partkey") % 10).alias("mirror_disk"), (F.col("l_orderkey") * 1000 + F.floor((F.col("n") - 1) / 3)).alias("pg"),
         )
 
+    def stored_extents(self) -> DataFrame:
+        """The extents, numbered once and written for queries that read them many times."""
+        if self._stored is None:
+            path = shared_path(self.spark, "extents")
+            self.extents().write.parquet(path)
+            self._stored = self.spark.read.parquet(path)
+        return self._stored
+
     def files(self) -> DataFrame:
         path = F.concat(F.lit("/shares/"), F.lower("o_orderstatus"), F.lit("/c"), "o_custkey", F.lit("/o"), "o_orderkey", F.lit(".bin"))
         return self.table("orders").select(F.col("o_orderkey").alias("file_id"), path.alias("path"), F.col("o_orderdate").alias("mtime"))
