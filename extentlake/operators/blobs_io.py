@@ -17,13 +17,19 @@ from .xor import xor_blobs
 REPAIR_RECORDS = ("prepared", "data-written", "committed")
 
 
-def verified_extents(catalog: DataFrame, blobs: DataFrame) -> DataFrame:
-    """The catalog's columns, content (cut or zero-padded to the extent's length) and ``sound``. An extent without a checksum is
-    sound if its blob is there."""
+def verdicts(catalog: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The catalog's columns and ``sound``: whether the blob, cut or zero-padded to the extent's length, has the checksum. An extent
+    without a checksum is sound if its blob is there. Contents aren't kept: save this, and read again only what is needed."""
     x = catalog.join(blobs.select("extent_no", "content"), "extent_no", "left")
-    x = x.withColumn("content", F.when(F.col("content").isNotNull(), with_length(F.col("content"), F.col("length"))))
-    sound = F.col("content").isNotNull() & ((F.col("checksum") == "") | (blake3_hex(F.col("content")) == F.col("checksum")))
-    return x.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    content = with_length(F.col("content"), F.col("length"))
+    sound = F.col("content").isNotNull() & ((F.col("checksum") == "") | (blake3_hex(content) == F.col("checksum")))
+    return x.select(*catalog.columns, F.coalesce(sound, F.lit(False)).alias("sound"))
+
+
+def sound_blobs(judged: DataFrame, blobs: DataFrame) -> DataFrame:
+    """extent_no, pg, content of the sound extents of ``judged``."""
+    x = judged.where("sound").select("extent_no", "pg", "length").join(blobs.select("extent_no", "content"), "extent_no")
+    return x.select("extent_no", "pg", with_length(F.col("content"), F.col("length")).alias("content"))
 
 
 def parity_violations(groups: DataFrame, parity: DataFrame) -> DataFrame:
@@ -33,36 +39,36 @@ def parity_violations(groups: DataFrame, parity: DataFrame) -> DataFrame:
     return both.select(F.lit("P2").alias("code"), F.lit("parity").alias("kind"), F.col("pg").cast("string").alias("entity"), bad.alias("message")).where("message IS NOT NULL")
 
 
-def healed_extents(verified: DataFrame, groups: DataFrame, parity: DataFrame) -> DataFrame:
+def healed_extents(judged: DataFrame, blobs: DataFrame, groups: DataFrame, parity: DataFrame) -> DataFrame:
     """extent_no, content of the unsound extents that the parity file and the sound rest of the group give back.
 
-    Only groups with exactly one unsound extent and sound parity are read again; a result is kept if it has the checksum.
+    Only groups with exactly one unsound extent are read again, and only if their parity is sound; a result is kept if it has the
+    checksum.
     """
-    bad = verified.where("NOT sound").groupBy("pg").agg(F.count("*").alias("n"), F.max("extent_no").alias("target")).where("n = 1").drop("n")
-    spoilt = parity_violations(groups, parity).select(F.col("entity").cast("long").alias("pg"))
-    bad = bad.join(spoilt, "pg", "left_anti").join(groups.where("checksum <> ''").select("pg"), "pg", "left_semi")
-    peers = verified.where("sound").select("pg", "content").unionByName(parity.select("pg", "content")).join(bad.select("pg"), "pg", "left_semi")
-    lost = verified.where("NOT sound").select("extent_no", "pg", "length", "checksum")
-    back = xor_blobs(peers).join(bad, "pg").join(lost.select(F.col("extent_no").alias("target"), "length", "checksum"), "target")
-    back = back.select(F.col("target").alias("extent_no"), with_length(F.col("parity"), F.col("length")).alias("content"), "checksum")
+    one = judged.where("NOT sound").groupBy("pg").agg(F.count("*").alias("n"), F.max("extent_no").alias("target")).where("n = 1").drop("n")
+    known = groups.where("checksum <> ''").join(one, "pg")
+    files = parity.select("pg", "content").join(known, "pg")
+    files = files.where(blake3_hex(F.col("content")) == F.col("checksum")).select("pg", "content")
+    peers = sound_blobs(judged.join(known.select("pg"), "pg", "left_semi"), blobs).select("pg", "content")
+    back = xor_blobs(peers.unionByName(files)).join(files.select("pg").join(one, "pg"), "pg")
+    lost = judged.where("NOT sound").select(F.col("extent_no").alias("target"), "length", "checksum")
+    back = back.join(lost, "target").select(F.col("target").alias("extent_no"), with_length(F.col("parity"), F.col("length")).alias("content"), "checksum")
     return back.where((F.col("checksum") == "") | (blake3_hex(F.col("content")) == F.col("checksum"))).drop("checksum")
 
 
-def read_files(files: DataFrame, verified: DataFrame, healed: DataFrame) -> DataFrame:
+def read_files(files: DataFrame, judged: DataFrame, blobs: DataFrame, healed: DataFrame) -> DataFrame:
     """file_id, bytes_read, healed_extents, error, content of every file: verified, healed and in order of offset.
 
     A file with an extent that is lost is refused, and so is one whose content hasn't the committed size (I13). A file's row is
     one value, bounded by the file's size.
     """
-    x = verified.drop("content").join(verified.where("sound").select("extent_no", "content").unionByName(healed), "extent_no", "left")
+    x = judged.join(sound_blobs(judged, blobs).select("extent_no", "content").unionByName(healed), "extent_no", "left")
     part = F.struct("logical_offset", "content", "extent_no", F.col("sound"))
     f = x.groupBy("file_id").agg(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), part))).alias("parts"), F.count("*").alias("n"))
     mended = F.filter("parts", lambda p: ~p["sound"])
     f = f.join(files.select("file_id", "size_bytes"), "file_id")
-    content = F.expr("aggregate(parts, cast('' AS binary), (c, p) -> concat(c, p.content))")
-    f = f.withColumn("content", content)
-    error = F.when(F.size("parts") < F.col("n"), "lost extent").when(F.octet_length("content") != F.col("size_bytes"), "I13")
-    f = f.withColumn("error", error)
+    f = f.withColumn("content", F.expr("aggregate(parts, cast('' AS binary), (c, p) -> concat(c, p.content))"))
+    f = f.withColumn("error", F.when(F.size("parts") < F.col("n"), "lost extent").when(F.octet_length("content") != F.col("size_bytes"), "I13"))
     ok = F.col("error").isNull()
     return f.select(
         "file_id", F.when(ok, F.octet_length("content").cast("long")).alias("bytes_read"),
@@ -71,22 +77,22 @@ def read_files(files: DataFrame, verified: DataFrame, healed: DataFrame) -> Data
     )
 
 
-def extent_repairs(verified: DataFrame, healed: DataFrame) -> DataFrame:
+def extent_repairs(judged: DataFrame, healed: DataFrame) -> DataFrame:
     """entity, kind, records, ok of a repair of every unsound extent: nothing is written before the bytes are rebuilt."""
-    x = verified.where("NOT sound").select("extent_no").join(healed.select("extent_no", F.lit(True).alias("ok")), "extent_no", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    x = judged.where("NOT sound").select("extent_no").join(healed.select("extent_no", F.lit(True).alias("ok")), "extent_no", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     return x.select(F.col("extent_no").cast("string").alias("entity"), F.lit("extent").alias("kind"), F.when(F.col("ok"), ">".join(REPAIR_RECORDS)).otherwise("").alias("records"), "ok")
 
 
-def parity_repairs(verified: DataFrame, violations: DataFrame) -> DataFrame:
+def parity_repairs(judged: DataFrame, violations: DataFrame) -> DataFrame:
     """entity, kind, records, ok of a repair of every group with a bad parity file: it is prepared first, and stops there if a
     member can't be read."""
     bad = violations.select(F.col("entity").cast("long").alias("pg"))
-    x = verified.join(bad, "pg", "left_semi").groupBy("pg").agg(F.bool_and("sound").alias("ok"))
+    x = judged.join(bad, "pg", "left_semi").groupBy("pg").agg(F.bool_and("sound").alias("ok"))
     return x.select(F.col("pg").cast("string").alias("entity"), F.lit("parity").alias("kind"), F.when(F.col("ok"), ">".join(REPAIR_RECORDS)).otherwise(REPAIR_RECORDS[0]).alias("records"), "ok")
 
 
-def repaired_parity(verified: DataFrame, repairs: DataFrame) -> DataFrame:
+def repaired_parity(judged: DataFrame, blobs: DataFrame, repairs: DataFrame) -> DataFrame:
     """pg, content, checksum of the parity files that successful repairs write."""
     done = repairs.where("ok AND kind = 'parity'").select(F.col("entity").cast("long").alias("pg"))
-    p = xor_blobs(verified.join(done, "pg", "left_semi").select("pg", "content")).withColumnRenamed("parity", "content")
+    p = xor_blobs(sound_blobs(judged.join(done, "pg", "left_semi"), blobs).select("pg", "content")).withColumnRenamed("parity", "content")
     return p.withColumn("checksum", blake3_hex(F.col("content")))

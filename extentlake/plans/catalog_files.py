@@ -247,8 +247,8 @@ def _(p):
     wanted = p.files().where("file_id % 3 = 0").select(F.col("file_id").alias("request"), F.when(F.col("file_id") % 4 == 0, -1).otherwise(F.col("file_id")).alias("file_id"))
     some = catalog.join(wanted.select("file_id"), "file_id", "left_semi")
     sizes = some.groupBy("file_id").agg(F.sum("length").alias("size_bytes"))
-    verified = blobs_io.verified_extents(some, blobs)
-    read = blobs_io.read_files(sizes, verified, verified.where("false").select("extent_no", "content")).select("file_id", F.col("error").alias("e"), F.lit(True).alias("has"))
+    judged = p.stored("verdicts", blobs_io.verdicts(some, blobs))
+    read = blobs_io.read_files(sizes, judged, blobs, blobs.where("false")).select("file_id", F.col("error").alias("e"), F.lit(True).alias("has"))
     error = F.when(F.col("file_id") == -1, "file not found").when(F.col("has").isNull(), "no extents").otherwise(F.col("e"))
     return wanted.join(read, "file_id", "left").select("request", error.alias("error"))
 

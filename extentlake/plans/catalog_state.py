@@ -11,25 +11,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import blake3
-from ..operators import blobs_io, changes, replay, wal, xor
+from ..operators import blobs_io, changes, faults, replay, wal, xor
 from .catalog import _REASON, query
 
 # Reads and repair
 
 
 def _stored(p):
-    """The catalog of extents, the blobs on disk, the groups and the parity files on disk."""
+    """The catalog of extents, the blobs on disk, the groups and the parity files on disk: tables that are written first."""
     k = (F.col("length") / 4096).cast("int")
     x = p.extents().select("extent_no", "pg", "file_id", (F.col("logical_offset") / 64).cast("long").alias("logical_offset"), (k * 64).cast("long").alias("length"), F.expr(_REASON).alias("reason"), F.repeat(F.sha2(F.col("extent_no").cast("string"), 256), k).cast("binary").alias("content"))
-    catalog = x.select("extent_no", "pg", "file_id", "logical_offset", "length", blake3.blake3_hex(F.col("content")).alias("checksum"))
-    cut = F.substr(F.col("content"), F.lit(1), F.octet_length("content") - 1)
-    changed = F.concat(F.lit(b"!"), F.substr(F.col("content"), F.lit(2), F.octet_length("content")))
-    blobs = x.where("reason IS NULL OR reason <> 'missing'").select("extent_no", F.when(F.col("reason") == "length", cut).when(F.col("reason") == "digest", changed).otherwise(F.col("content")).alias("content"))
+    x = p.stored("originals", x.withColumn("checksum", blake3.blake3_hex(F.col("content"))))
+    cut, changed = faults.cut(F.col("content"), 1), F.concat(F.lit(b"!"), F.substr(F.col("content"), F.lit(2), F.octet_length("content")))
+    blobs = faults.lost(x, F.col("reason") == "missing").select("extent_no", F.when(F.col("reason") == "length", cut).when(F.col("reason") == "digest", changed).otherwise(F.col("content")).alias("content"))
     whole = xor.xor_blobs(x.select("pg", "content")).select("pg", F.col("parity").alias("content"))
-    groups = whole.select("pg", F.when(F.col("pg") % 89 == 0, "").otherwise(blake3.blake3_hex(F.col("content"))).alias("checksum"))
-    flipped = F.concat(F.lit(b"!"), F.substr(F.col("content"), F.lit(2), F.octet_length("content")))
-    parity = whole.where("pg % 83 <> 0").select("pg", F.when(F.col("pg") % 71 == 0, flipped).otherwise(F.col("content")).alias("content"))
-    return catalog, blobs, groups, parity
+    whole = p.stored("parity", whole.withColumn("checksum", F.when(F.col("pg") % 89 == 0, "").otherwise(blake3.blake3_hex(F.col("content")))))
+    parity = faults.damaged(faults.lost(whole, F.col("pg") % 83 == 0), F.col("pg") % 71 == 0, lambda c: faults.flipped(c, 0))
+    return x.drop("content", "reason"), blobs, whole.select("pg", "checksum"), parity.select("pg", "content")
+
+
+def _judged(p, catalog, blobs):
+    return p.stored("verdicts", blobs_io.verdicts(catalog, blobs))
 
 
 _HEALTH = f"""h AS (SELECT *, sha256(CAST(extent_no AS VARCHAR)) AS hex, CAST(length // 4096 AS INT) AS k, {_REASON} IS NULL AS sound, pg % 83 <> 0 AND pg % 71 <> 0 AND pg % 89 <> 0 AS parity_ok,
@@ -41,7 +43,7 @@ _HEALTH = f"""h AS (SELECT *, sha256(CAST(extent_no AS VARCHAR)) AS hex, CAST(le
 @query("src08_verify_extents", "ext", f"SELECT extent_no, {_REASON} IS NULL AS sound FROM ext")
 def _(p):
     catalog, blobs, _, _ = _stored(p)
-    return blobs_io.verified_extents(catalog, blobs).select("extent_no", "sound")
+    return blobs_io.verdicts(catalog, blobs).select("extent_no", "sound")
 
 
 @query("chk05_parity_digest", "ext", "SELECT 'P2' AS code, 'parity' AS kind, CAST(pg AS VARCHAR) AS entity, CASE WHEN pg % 83 = 0 THEN 'cannot read' ELSE 'mismatch' END AS message FROM (SELECT DISTINCT pg FROM ext) WHERE pg % 89 <> 0 AND (pg % 83 = 0 OR pg % 71 = 0)")
@@ -58,8 +60,8 @@ def _(p):
     catalog, blobs, groups, parity = _stored(p)
     files = p.extents().groupBy("file_id").agg((F.sum("length") / 64).cast("long").alias("size_bytes"))
     files = files.withColumn("size_bytes", F.col("size_bytes") + (F.col("file_id") % 61 == 0).cast("int"))
-    verified = blobs_io.verified_extents(catalog, blobs)
-    out = blobs_io.read_files(files, verified, blobs_io.healed_extents(verified, groups, parity))
+    judged = _judged(p, catalog, blobs)
+    out = blobs_io.read_files(files, judged, blobs, blobs_io.healed_extents(judged, blobs, groups, parity))
     return out.select("file_id", "bytes_read", "healed_extents", "error", F.sha2("content", 256).alias("content_sha256"))
 
 
@@ -69,20 +71,20 @@ UNION ALL SELECT CAST(pg AS VARCHAR), 'parity', CASE WHEN max(n_bad) = 0 THEN 'p
 
 def _repairs(p):
     catalog, blobs, groups, parity = _stored(p)
-    verified = blobs_io.verified_extents(catalog, blobs)
-    extents = blobs_io.extent_repairs(verified, blobs_io.healed_extents(verified, groups, parity))
-    return verified, extents.unionByName(blobs_io.parity_repairs(verified, blobs_io.parity_violations(groups, parity))), groups
+    judged = _judged(p, catalog, blobs)
+    extents = blobs_io.extent_repairs(judged, blobs_io.healed_extents(judged, blobs, groups, parity))
+    return judged, blobs, extents.unionByName(blobs_io.parity_repairs(judged, blobs_io.parity_violations(groups, parity))), groups
 
 
 @query("rec07_repair", "ext", _HEALTH + _REPAIRS)
 def _(p):
-    return _repairs(p)[1]
+    return _repairs(p)[2]
 
 
 @query("chk10_parity_after_repair", "ext", _HEALTH + "SELECT pg, true AS ok FROM h WHERE pg % 89 <> 0 AND (pg % 83 = 0 OR pg % 71 = 0) GROUP BY pg HAVING max(n_bad) = 0")
 def _(p):
-    verified, repairs, groups = _repairs(p)
-    written = blobs_io.repaired_parity(verified, repairs).select("pg", F.col("checksum").alias("written"))
+    judged, blobs, repairs, groups = _repairs(p)
+    written = blobs_io.repaired_parity(judged, blobs, repairs).select("pg", F.col("checksum").alias("written"))
     return written.join(groups, "pg").select("pg", (F.col("written") == F.col("checksum")).alias("ok"))
 
 

@@ -22,7 +22,7 @@ class Pool:
     """The model's tables over one directory of Parquet tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._stored = spark, sf_dir, None
+        self.spark, self.dir, self._stored = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -37,13 +37,16 @@ class Pool:
             F.col("l_suppkey").alias("data_disk"), (F.col("l_partkey") % 10).alias("mirror_disk"), (F.col("l_orderkey") * 1000 + F.floor((F.col("n") - 1) / 3)).alias("pg"),
         )
 
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        """``df``, written once for a query that reads it many times."""
+        if name not in self._stored:
+            path = shared_path(self.spark, name)
+            df.write.parquet(path)
+            self._stored[name] = self.spark.read.parquet(path)
+        return self._stored[name]
+
     def stored_extents(self) -> DataFrame:
-        """The extents, numbered once and written for queries that read them many times."""
-        if self._stored is None:
-            path = shared_path(self.spark, "extents")
-            self.extents().write.parquet(path)
-            self._stored = self.spark.read.parquet(path)
-        return self._stored
+        return self.stored("extents", self.extents())
 
     def files(self) -> DataFrame:
         path = F.concat(F.lit("/shares/"), F.lower("o_orderstatus"), F.lit("/c"), "o_custkey", F.lit("/o"), "o_orderkey", F.lit(".bin"))
