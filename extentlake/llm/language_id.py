@@ -21,6 +21,8 @@ from ._words import string_slices
 
 #: Bound of the training sample: documents (those of smallest hashed id), and characters in all from each of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 768
+#: Candidates for each place in the sample that are ranked.
+SPARE = 8
 #: At most so many languages are learnt, the most frequent ones.
 MAX_LANGUAGES = 400
 #: Windows of noise for each language's mean number of windows.
@@ -210,14 +212,17 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: in
     """
     usable = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     top = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    labels = sorted(r[0] for r in top.select("lang").collect())
+    counts = dict(map(tuple, top.collect()))
+    labels = sorted(counts)
     if not labels:
         return None
     usable = usable.where(F.col("lang").isin(labels)).withColumn("key", F.xxhash64("doc_id", "text", "lang"))
-    # An even share for each language, of smallest hashed ids; the limit is applied in every task before the shuffle.
+    # An even share for each language, of smallest hashed ids. Of a language's n rows only those whose hash is in the lowest
+    # SPARE * share / n of all hashes are ranked, so that the ranking doesn't grow with the data.
     share = max(1, sample_docs // len(labels))
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "key")
-    ranked = usable.select("lang", "doc_id", "key").withColumn("k", F.rank().over(order)).where(F.col("k") <= share)
+    below = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1, SPARE * share / n) * (2**64 - 1)) - 2**63)])
+    ranked = usable.select("lang", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"), "key").where(F.col("h") <= below[F.col("lang")])
+    ranked = ranked.withColumn("k", F.rank().over(W.partitionBy("lang").orderBy("h", "key"))).where(F.col("k") <= share)
     keys = sorted({r[0] for r in ranked.select("key").distinct().collect()})
     run, n = sample_chars // 3, F.length("text")
     part = F.concat_ws(" ", *[F.substring(F.col("text"), (1 + F.greatest(n - run, F.lit(0)) * f).cast("int"), F.lit(run)) for f in (0.0, 0.5, 1.0)])
