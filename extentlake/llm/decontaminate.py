@@ -41,8 +41,8 @@ class Text:
         self.words, self.seeds, self.at = words, seeds, at
 
 
-def _texts(array, k: int):
-    """(row, Text) of the lower-cased texts."""
+def _texts(array, k: int, wanted=None):
+    """(row, Text) of the lower-cased texts; of a text in parts only the windows whose hashes are ``wanted`` (a mask of them)."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for p in parts(pa.compute.utf8_lower(array), k - 1, space=_BREAK):
         w = p.words
@@ -50,6 +50,8 @@ def _texts(array, k: int):
         h = w.window_hashes(at, k)
         if held or not p.last:
             before = sum(len(x[0]) for x in held) - p.skip
+            if wanted:
+                at, h = (x[wanted(h)] for x in (at, h))
             held.append((w.hashes[p.skip :], h, at + max(0, before)))
             if p.last:
                 yield p.row, Text(*(np.concatenate(x) for x in zip(*held)))
@@ -112,9 +114,12 @@ class Seeds:
         self.table = np.zeros(1 << int(self.bits), bool)
         self.table[self.hash >> (np.uint64(64) - self.bits)] = True
 
+    def near(self, hashes: np.ndarray) -> np.ndarray:
+        return self.table[hashes >> (np.uint64(64) - self.bits)]
+
     def find(self, t: Text):
         """(item, covered words, tiles, longest) of the items that share a seed with the text."""
-        near = self.table[t.seeds >> (np.uint64(64) - self.bits)]
+        near = self.near(t.seeds)
         at, h = t.at[near], t.seeds[near]
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         n = hi - lo
@@ -146,7 +151,7 @@ def _scan(batches, items, key: str, k: int, coverage: float):
     seeds = kept["seeds"]
     for batch in batches:
         ids, rows, carried = batch.column(0), [], []
-        for row, t in _texts(batch.column(1), k):
+        for row, t in _texts(batch.column(1), k, seeds.near):
             for item, covered, count, longest in seeds.find(t):
                 if covered >= coverage * len(seeds.words[item]):
                     rows.append((ids[row].as_py(), seeds.ids[item], len(seeds.words[item]), covered, count, longest))

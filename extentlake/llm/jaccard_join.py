@@ -38,6 +38,8 @@ COARSE, FINE, MIN_SEGMENTS = 0.45, 8.0, 64
 #: Bands up to this (sets of up to 2^TINY shingles) also index subsets short of one shingle.
 TINY = 4
 CHUNK_KEYS, CHUNK_SETS = 1_000_000, 15_000
+#: Keys of sets above this many shingles are made part by part.
+LARGE_SET = 1_000_000
 #: Groups of up to this many sets are compared pair by pair at once; larger ones in blocks of so many.
 SMALL_GROUP, BLOCK_SETS = 3, 256
 #: Shingles multiplied at a time in a tile.
@@ -110,12 +112,18 @@ _BLOCKS = "bucket int, keys binary, entry binary, flags binary, entries binary"
 _ENTRY = np.dtype([("id", "<i8"), ("n", "<i4"), ("u", "<i4"), ("b", "i1"), ("low", "i1")])
 
 
+def _segment(h, b, density):
+    """The segment of each shingle in its set's band."""
+    with np.errstate(over="ignore"):
+        return (mix(h ^ (U(0x5851F42D4C957F2D) * b.astype(U))) % segments(b, density).astype(U)).astype(np.int64)
+
+
 def _role(h, at, ids, n, b, low, density):
     """Keys, entries' numbers, flags and entries of the sets h[at[i]:at[i + 1]] in band b."""
     size = np.diff(at)
     owner = np.repeat(np.arange(len(size)), size)
+    seg = _segment(h, b[owner], density)
     with np.errstate(over="ignore"):
-        seg = (mix(h ^ (U(0x5851F42D4C957F2D) * b.astype(U)[owner])) % segments(b, density).astype(U)[owner]).astype(np.int64)
         order = np.argsort(owner * (1 << 40) + seg, kind="stable")
         owner, seg, value = owner[order], seg[order], mix(h[order] + U(3))
         new = runs(owner * (1 << 40) + seg)[:-1]
@@ -134,6 +142,21 @@ def _role(h, at, ids, n, b, low, density):
     return np.concatenate(keys), np.concatenate(entry), np.concatenate(flags), entries
 
 
+def _large_role(h, doc_id, b, low, density):
+    """``_role`` of one large set, in parts of about LARGE_SET shingles that hold whole segments."""
+    n, b = len(h), np.array([b])
+    seg = np.concatenate([_segment(h[a : a + LARGE_SET], b, density) for a in range(0, n, LARGE_SET)]).astype(np.uint32)
+    total = int(segments(b, density)[0])
+    seen = np.zeros(total, bool)
+    seen[seg] = True
+    u, cut = int(seen.sum()), -(-n // LARGE_SET)
+    for k in range(cut):
+        part = h[(seg >= total * k // cut) & (seg < total * (k + 1) // cut)]
+        keys, entry, flags, entries = _role(part, np.array([0, len(part)]), [doc_id], [n], b, np.array([low]), density)
+        entries["u"] = u
+        yield keys, entry, flags, entries
+
+
 def _emit(batches, k: int, buckets: int, density: float):
     chunk = _Chunk()
     for batch in batches:
@@ -142,7 +165,12 @@ def _emit(batches, k: int, buckets: int, density: float):
             n = np.diff(at)
             b = band(n)
             for low, chosen in ((False, n > 0), (True, (b > 0) & (3 * n <= 4 * 2 ** np.maximum(b - 1, 0)))):
-                which = np.flatnonzero(chosen)
+                for i in np.flatnonzero(chosen & (n > LARGE_SET)):
+                    for part in _large_role(h[at[i] : at[i + 1]], ids[row + i], b[i] - low, low, density):
+                        chunk.add(*part)
+                        if chunk.full():
+                            yield chunk.blocks(buckets)
+                which = np.flatnonzero(chosen & (n <= LARGE_SET))
                 if not len(which):
                     continue
                 part = np.concatenate([h[at[i] : at[i + 1]] for i in which])

@@ -28,10 +28,11 @@ def edited(rnd, words, share):
 
 @pytest.mark.parametrize("small", [1, 3])
 def test_equals_brute_force(spark, small, sized):
-    """Families of copies and near copies of all sizes, a hot passage, and chains of edits; for small=1 also texts in parts
-    and keys by way of a few first buckets."""
+    """Families of copies and near copies of all sizes, a hot passage, and chains of edits; for small=1 also texts and
+    sets in parts and keys by way of a few first buckets."""
     if small == 1:
         sized(_words, "SLICE_BYTES", 150)
+        sized(jj, "LARGE_SET", 30)
         sized(_buckets, "FIRST_BUCKETS", 3)
         sized(_buckets, "BUCKET_TEXT_BYTES", 2000)
     sized(jj, "SMALL_GROUP", small)
