@@ -231,7 +231,7 @@ def _(p):
     return out.select("request", "extent_no", "pg", F.sha2("content", 256).alias("content_sha256"))
 
 
-@query("mut06_rename_conflicts", "files", """SELECT file_id AS request, CASE WHEN file_id % 100 = 0 THEN 'paths required' WHEN file_id % 2 = 0 THEN 'file not found' WHEN file_id % 3 = 0 AND file_id % 5 <> 0 THEN 'destination exists' END AS error,
+@query("mut06_rename_conflicts", "files", """SELECT file_id AS request, CASE WHEN file_id % 100 = 0 THEN 'paths required' WHEN file_id % 2 = 0 THEN 'file not found' WHEN file_id % 3 = 0 AND file_id % 5 <> 0 AND path <> (SELECT min(path) FROM files) THEN 'destination exists' END AS error,
   CASE WHEN file_id % 100 = 0 OR file_id % 2 = 0 THEN NULL WHEN file_id % 5 = 0 THEN path WHEN file_id % 3 = 0 THEN path ELSE '/moved' || path END AS path FROM files""")
 def _(p):
     k = F.col("file_id")
@@ -239,11 +239,11 @@ def _(p):
     new = F.when(k % 5 == 0, F.col("path")).when(k % 3 == 0, F.col("taken")).otherwise(F.concat(F.lit("/moved"), "path"))
     old = F.when(k % 100 == 0, "").when(k % 2 == 0, F.concat("path", F.lit(".new"))).otherwise(F.col("path"))
     # One row joins the requests: the path that is taken.
-    r = p.files().crossJoin(F.broadcast(taken)).where("path <> taken OR file_id % 3 <> 0 OR file_id % 5 = 0 OR file_id % 2 = 0")
+    r = p.files().join(F.broadcast(taken), F.lit(True))
     return changes.renames(r.select(k.alias("request"), old.alias("path"), new.alias("new_path")), _files(p))
 
 
-_CREATE = f"""SELECT file_id AS request, error, CASE WHEN error IS NULL THEN kind END AS file_type, CASE WHEN error IS NULL THEN mode END AS mode, CASE WHEN error IS NULL THEN size END AS size_bytes FROM (
+_CREATE = f"""SELECT file_id AS request, error, CASE WHEN error IS NULL THEN kind END AS file_type, CAST(CASE WHEN error IS NULL THEN mode END AS INTEGER) AS mode, CASE WHEN error IS NULL THEN size END AS size_bytes FROM (
   SELECT file_id, CASE file_id % 3 WHEN 0 THEN 'directory' WHEN 1 THEN 'symlink' ELSE 'fifo' END AS kind, CASE file_id % 3 WHEN 2 THEN 4096 + 420 ELSE file_id % 10000 & 4095 END AS mode, CAST(CASE file_id % 3 WHEN 1 THEN 7 ELSE 0 END AS BIGINT) AS size,
     coalesce({_ERR}, CASE WHEN file_id % 3 = 2 AND file_id % 4 = 0 THEN 'not a special file' END) AS error FROM files)"""
 
@@ -273,7 +273,7 @@ def _(p):
     return changes.hard_links(requests, _files(p))
 
 
-@query("mut09_attributes", "files", """SELECT file_id AS request, error, CASE WHEN error IS NULL THEN file_id END AS file_id, CASE WHEN error IS NULL THEN CASE WHEN file_id % 3 = 0 THEN file_id % 512 ELSE file_id % 9000 & 4095 END END AS mode, CASE WHEN error IS NULL THEN CASE WHEN file_id % 3 = 1 THEN file_id ELSE 12345 END END AS mtime
+@query("mut09_attributes", "files", """SELECT file_id AS request, error, CASE WHEN error IS NULL THEN file_id END AS file_id, CAST(CASE WHEN error IS NULL THEN CASE WHEN file_id % 3 = 0 THEN file_id % 512 ELSE file_id % 9000 & 4095 END END AS INTEGER) AS mode, CASE WHEN error IS NULL THEN CASE WHEN file_id % 3 = 1 THEN file_id ELSE 12345 END END AS mtime
 FROM (SELECT file_id, CASE WHEN file_id % 100 = 0 THEN 'path required' WHEN file_id % 2 = 0 THEN 'file not found' END AS error FROM files)""")
 def _(p):
     k = F.col("file_id")
