@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline as cp
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra int"
@@ -47,8 +49,10 @@ def pairs(df):
     return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
 
 
-def test_near_duplicates_of_null_and_repeated_ids(spark):
-    """Different texts of one id are judged apart, and none is lost."""
+@pytest.mark.parametrize("few", [250_000, 0])
+def test_near_duplicates_of_null_and_repeated_ids(spark, monkeypatch, few):
+    """Different texts of one id are judged apart, and none is lost; with decisions broadcast and by a shuffle."""
+    monkeypatch.setattr(cp, "BROADCAST_ROWS", few)
     rnd = random.Random(7)
     noise = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
     a, b, c = noise(60), noise(60), noise(40)
