@@ -18,6 +18,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NO_LANGUAGE = 0.9
 #: The hash of its text tells rows apart that repeat an id with different texts.
 TEXT_HASH = "xxhash64(text)"
+#: Decisions of up to this many rows (64 bytes each in memory) are sent to all tasks; more are joined by a shuffle of the documents.
+BROADCAST_ROWS = 250_000
+
+
+def _decided(decisions: DataFrame) -> DataFrame:
+    """The saved decisions, to be broadcast if they are few enough."""
+    return F.broadcast(decisions) if decisions.count() <= BROADCAST_ROWS else decisions
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +50,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     docs, scratch = docs.select(COLUMNS), Scratch(spark, "near")
     judged = scratch.save(jaccard_join.jaccard_components(docs).where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "text_hash", "leads"), "judged")
     copies = judged.groupBy("doc_id", "text_hash").agg(F.bool_and("leads").alias("leads"), F.count("*").alias("n")).where("NOT leads OR n > 1")
-    copies = scratch.save(copies.select("doc_id", F.col("text_hash").alias("key"), "leads"), "copies")
+    copies = _decided(scratch.save(copies.select("doc_id", F.col("text_hash").alias("key"), "leads"), "copies"))
     rows = docs.withColumn("key", F.expr(TEXT_HASH))
     kept = rows.join(copies, ["doc_id", "key"], "left_anti").select(COLUMNS)
-    repeated = rows.join(copies.where("leads").drop("leads"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(COLUMNS)
+    repeated = rows.join(_decided(copies.where("leads").drop("leads")), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(COLUMNS)
     return kept.unionByName(repeated)
 
 
@@ -69,7 +76,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     docs = docs.select(COLUMNS).withColumn("key", F.expr(TEXT_HASH))
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), carry=["key"]).select(F.col("doc_id").alias("found"), F.col("key").alias("found_key")).distinct()
-    found = Scratch(spark, "contaminated").save(found, "found")
+    found = _decided(Scratch(spark, "contaminated").save(found, "found"))
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found")) & (F.col("key") == F.col("found_key")), "left_anti").select(COLUMNS)
 
 
