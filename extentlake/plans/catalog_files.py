@@ -84,7 +84,7 @@ def _(p):
     return namespace.assemble(p.disks().select((F.col("disk_id") % 10).alias("pool_id"), "disk_id"), found)
 
 
-@query("src13_config", "", """SELECT s_suppkey AS node, CASE WHEN e IS NULL THEN 'pool' || s_suppkey % 9 END AS pool_name, CAST(CASE WHEN e IS NULL THEN CASE WHEN s_suppkey % 2 = 0 THEN 7000 ELSE 30000 END END AS BIGINT) AS read_timeout_ms, CASE WHEN e IS NULL THEN CASE WHEN s_suppkey % 3 = 0 THEN '/named/journal.bin' ELSE '/var/lib/rtparityd/journal.bin' END END AS journal_path, e AS error
+@query("src13_config", "", """SELECT s_suppkey AS node, CASE WHEN e IS NULL THEN 'pool' || s_suppkey % 9 END AS pool_name, CAST(CASE WHEN e IS NULL THEN CASE WHEN s_suppkey % 2 = 0 THEN 7000 ELSE 30000 END END AS BIGINT) AS read_timeout_ms, CASE WHEN e IS NULL THEN CASE WHEN s_suppkey % 3 = 0 THEN '/named/journal.bin' ELSE '/var/lib/extentlake/journal.bin' END END AS journal_path, e AS error
 FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'parse config' WHEN s_suppkey % 7 = 0 THEN 'pool-name must not contain path separators' WHEN s_suppkey % 11 = 0 THEN 'metadata-path must be absolute' WHEN s_suppkey % 13 = 0 THEN 'read-rate-limit-per-second must be positive' END AS e FROM supplier)""")
 def _(p):
     k = F.col("s_suppkey")

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 
 # The defaults of a configuration.
 DEFAULTS = {
-    "global": {"pool-name": "demo", "journal-path": "/var/lib/rtparityd/journal.bin", "metadata-path": "/var/lib/rtparityd/metadata.bin", "snapshot-interval-hours": 24},
-    "server": {"socket-path": "/var/run/rtparityd/rtparityd.sock", "require-root-user": True, "read-timeout-seconds": 30, "idle-timeout-seconds": 300, "max-timeout-ms": 300000},
+    "global": {"pool-name": "demo", "journal-path": "/var/lib/extentlake/journal.bin", "metadata-path": "/var/lib/extentlake/metadata.bin", "snapshot-interval-hours": 24},
+    "server": {"socket-path": "/var/run/extentlake/extentlake.sock", "require-root-user": True, "read-timeout-seconds": 30, "idle-timeout-seconds": 300, "max-timeout-ms": 300000},
     "limits": {
         "max-request-size-bytes": 1 << 20, "max-write-size-bytes": 10 << 30, "write-rate-limit-per-second": 10, "write-burst": 20, "read-rate-limit-per-second": 50,
         "read-burst": 100, "max-goroutines": 64, "slow-query-threshold-ms": 5000,
     },
-    "logging": {"level": "info", "json": True}, "audit": {"enabled": False, "path": "/var/log/rtparityd/audit.log"}, "alert": {"enabled": False, "url": ""},
+    "logging": {"level": "info", "json": True}, "audit": {"enabled": False, "path": "/var/log/extentlake/audit.log"}, "alert": {"enabled": False, "url": ""},
     "scrub": {"enabled": False, "interval-hours": 24, "start-hour": 2, "end-hour": 5},
     "disk-pool": {"num-disks": 4, "disk-size-bytes": 1 << 40, "extent-size-bytes": 64 << 20, "parity-segments": 2},
 }

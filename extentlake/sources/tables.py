@@ -14,7 +14,7 @@ PROTOTYPE_DISKS = (
     ("disk-01", "11111111-1111-1111-1111-111111111111", "data", "xfs", "/mnt/data01", 4 << 40, 3 << 40, "online", 1),
     ("disk-02", "22222222-2222-2222-2222-222222222222", "data", "xfs", "/mnt/data02", 8 << 40, 7 << 40, "online", 1),
     ("disk-parity", "33333333-3333-3333-3333-333333333333", "parity", "xfs", "/mnt/parity", 8 << 40, 7 << 40, "online", 1),
-    ("disk-meta", "44444444-4444-4444-4444-444444444444", "metadata", "ext4", "/var/lib/rtparityd", 64 << 30, 48 << 30, "online", 1),
+    ("disk-meta", "44444444-4444-4444-4444-444444444444", "metadata", "ext4", "/var/lib/extentlake", 64 << 30, 48 << 30, "online", 1),
 )
 
 
