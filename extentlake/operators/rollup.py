@@ -13,7 +13,8 @@ def pool_stats(disks: DataFrame, extents: DataFrame, files: DataFrame) -> DataFr
     d = disks.agg(F.sum("capacity").alias("total_bytes"), F.sum("free").alias("free_bytes"), *[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ROLES])
     e = extents.agg(F.count("*").alias("extent_count"), F.sum("length").alias("extent_bytes"))
     used = F.col("total_bytes") - F.col("free_bytes")
-    d = d.withColumn("used_bytes", used).withColumn("used_bp", F.when(F.col("total_bytes") > 0, F.expr("used_bytes * 10000 div total_bytes")))
+    # In decimals: ten thousand times the bytes of a pool of an exabyte are beyond 64 bits.
+    d = d.withColumn("used_bytes", used).withColumn("used_bp", F.when(F.col("total_bytes") > 0, F.expr("CAST(used_bytes AS DECIMAL(19, 0)) * 10000 div total_bytes")))
     # Three rows of one each: the product is one row.
     return d.join(e, F.lit(True)).join(files.agg(F.count("*").alias("file_count")), F.lit(True))
 

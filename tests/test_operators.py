@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from extentlake.functions import columns as C
-from extentlake.operators import checks, mutations, namespace, placement, recovery, wal, xor
+from extentlake.operators import checks, mutations, namespace, placement, recovery, rollup, wal, xor
 from extentlake.plans import catalog, catalog_more  # noqa: F401
 from extentlake.streaming import state
 
@@ -255,3 +255,10 @@ def test_groups_stay_whole_behind_a_join(spark):
     some = spark.range(700).where("id % 3 = 0").select((F.col("id")).alias("pg")).groupBy("pg").count().select("pg")
     got = xor_blobs(a.join(some, "pg", "left_semi")).collect()
     assert len(got) == len({r.pg for r in got}) == 234
+
+
+def test_used_share_of_a_pool_of_two_exabytes(spark):
+    disks = spark.createDataFrame([("data", 1 << 60, 1 << 58), ("parity", 1 << 60, 0)], "role string, capacity long, free long")
+    got = rollup.pool_stats(disks, spark.createDataFrame([(5,)], "length long"), spark.range(2)).first()
+    assert (got.total_bytes, got.used_bytes, got.used_bp) == (1 << 61, (1 << 61) - (1 << 58), 8750)
+    assert rollup.pool_stats(disks.where("false"), spark.createDataFrame([(5,)], "length long"), spark.range(2)).first().used_bp is None
