@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import FILE_TYPES, file_type
+from .blobs_io import Blobs, with_content
 
 #: Records of a write, a change of bytes, and a change of names.
 WRITE_RECORDS = "prepared>data-written>parity-written>metadata-written>committed"
@@ -124,13 +125,13 @@ def overwrite_errors(requests: DataFrame, files: DataFrame, extents: DataFrame)
     return r.select("request", "file_id", "offset", "data", error.alias("error"))
 
 
-def overwritten(judged: DataFrame, extents: DataFrame, blobs: DataFrame) -> DataFrame:
-    """request, extent_no, pg, content of the extents that valid requests touch, with the new bytes. One request a file: those of
+def overwritten(judged: DataFrame, extents: DataFrame, blobs: Blobs) -> DataFrame:
+    """request, extent_no, pg, content of the extents that valid requests touch, with the new bytes; others aren't read. One request a file: those of
     one batch don't build on each other."""
     r = judged.where("error IS NULL").withColumn("_end", F.col("offset") + F.octet_length("data"))
     x = r.join(extents.select("file_id", "extent_no", "pg", "logical_offset", "length"), "file_id")
     stop = F.col("logical_offset") + F.col("length")
-    x = x.where((F.col("logical_offset") < F.col("_end")) & (stop > F.col("offset"))).join(blobs.select("extent_no", "content"), "extent_no")
+    x = with_content(x.where((F.col("logical_offset") < F.col("_end")) & (stop > F.col("offset"))), blobs).where("content IS NOT NULL")
     start = F.greatest("offset", "logical_offset")
     piece = F.substr(F.col("data"), (start - F.col("offset") + 1).cast("int"), (F.least("_end", stop) - start).cast("int"))
     return x.select("request", "extent_no", "pg", overlay(F.col("content"), piece, start - F.col("logical_offset")).alias("content"))
