@@ -1,9 +1,12 @@
 """DataFrames over the pool's files. Files are read through Spark (``binaryFile``), one row a file, and decoded in Arrow
-batches on the executors; a snapshot or journal file is bounded by its format, so it fits into a task."""
+batches on the executors; a snapshot or journal file is bounded by its format, so it fits into a task. Digests are computed for
+many files at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +29,33 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _decoded(spark: SparkSession, path: str | DataFrame, schema: str, rows: Callable[[str, bytes], list[dict]]) -> DataFrame:
-    """``path``: files, or a frame (path, content) of what they hold."""
+#: Bytes of files, and rows of them, that are worked on at once.
+BYTES, ROWS = 4 << 20, 20_000
+
+
+def _portions(files: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+    some, size = [], 0
+    for f in files:
+        some.append(f)
+        size += len(f[1])
+        if size >= BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _decoded(spark: SparkSession, path: str | DataFrame, schema: str, rows: Callable[[str, bytes, Callable], list[dict]]) -> DataFrame:
+    """``path``: files, or a frame (path, content) of what they hold. ``rows``: of a file, with a function for its digests."""
     files = path.select("path", "content") if isinstance(path, DataFrame) else _files(spark, path)
     kind = spark.createDataFrame([], schema).schema
     arrow = to_arrow_schema(kind)
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
-                yield pa.RecordBatch.from_pylist(rows(name, content), schema=arrow)
+            for some in _portions(list(zip(*(c.to_pylist() for c in batch.columns)))):
+                digest = formats.digests_of([content for _, content in some])
+                yield pa.RecordBatch.from_pylist([row for name, content in some for row in rows(name, content, digest)], schema=arrow)
 
     return files.mapInArrow(run, kind)
 
@@ -44,8 +64,8 @@ def snapshot(spark: SparkSession, path: str | DataFrame, table: str) -> DataFram
     """One table (pool, disks, files, extents, parity_groups, transactions, scrub_history) of the snapshots at ``path``."""
     fields = formats.POOL if table == "pool" else formats.TABLES[table]
 
-    def rows(_, content):
-        got = formats.read_snapshot(content)[table]
+    def rows(_, content, digest):
+        got = formats.read_snapshot(content, digest)[table]
         return [got] if table == "pool" else got
 
     df = _decoded(spark, path, formats.ddl(fields), rows)
@@ -55,19 +75,19 @@ def snapshot(spark: SparkSession, path: str | DataFrame, table: str) -> DataFram
 def journal(spark: SparkSession, path: str | DataFrame, mode: str = "DROP_TORN_TAIL") -> DataFrame:
     """Records with their place in the file; ``FAILFAST`` makes a torn tail an error."""
     drop = {"DROP_TORN_TAIL": True, "FAILFAST": False}[mode]
-    return _decoded(spark, path, _JOURNAL, lambda _, content: list(formats.read_journal(content, drop)))
+    return _decoded(spark, path, _JOURNAL, lambda _, content, digest: list(formats.read_journal(content, drop, digest)))
 
 
 def rebuild_progress(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """extent_id of every extent that a rebuild has done."""
-    return _decoded(spark, path, "extent_id string", lambda _, c: [{"extent_id": i} for i in formats.read_rebuild_progress(c)["completed_extents"]])
+    return _decoded(spark, path, "extent_id string", lambda _, c, digest: [{"extent_id": i} for i in formats.read_rebuild_progress(c, digest)["completed_extents"]])
 
 
 def scrub_progress(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """kind (extent or parity_group) and id of everything that a scrub has done."""
 
-    def rows(_, content):
-        got = formats.read_scrub_progress(content)
+    def rows(_, content, digest):
+        got = formats.read_scrub_progress(content, digest)
         return [{"kind": k, "id": i} for k in ("extent", "parity_group") for i in got[f"completed_{k}s"]]
 
     return _decoded(spark, path, "kind string, id string", rows)
@@ -77,10 +97,10 @@ def validate(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """path, severity, kind, message: what is wrong with the files at ``path``, told apart by their magic; a sound file has no row."""
     checks = {formats.SNAPSHOT_MAGIC: ("metadata", formats.read_snapshot), formats.REBUILD_MAGIC: ("rebuild", formats.read_rebuild_progress), formats.SCRUB_MAGIC: ("scrub", formats.read_scrub_progress)}
 
-    def rows(name, content):
-        kind, read = checks.get(content[:4], ("journal", lambda data: list(formats.read_journal(data, False))))
+    def rows(name, content, digest):
+        kind, read = checks.get(content[:4], ("journal", lambda data, digest: list(formats.read_journal(data, False, digest))))
         try:
-            read(content)
+            read(content, digest)
         except formats.FormatError as e:
             return [{"path": name, "severity": "warning" if "torn" in str(e) else "error", "kind": kind, "message": str(e)}]
         except (UnicodeDecodeError, IndexError) as e:
@@ -95,24 +115,44 @@ def catalog_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def _encoded(rows: DataFrame, key: str, encode: Callable[[list[dict]], bytes]) -> DataFrame:
-    """path, content: one file for each key, made of its rows; a file is bounded by its format's 16-bit counts or by the journal
-    of one pool."""
+def _encoded(rows: DataFrame, key: str, encode: Callable[[list[list[dict]]], list[bytes]]) -> DataFrame:
+    """path, content: one file for each key, made of its rows, of many keys at a time; a file is bounded by its format's 16-bit
+    counts or by the journal of one pool."""
 
-    def run(t: pa.Table) -> pa.Table:
-        got = t.to_pylist()
-        return pa.table({"path": pa.array([str(got[0][key])]), "content": pa.array([encode(got)], pa.binary())})
+    def files(groups: list[list[dict]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([str(g[0][key]) for g in groups], pa.string()), pa.array(encode(groups), pa.binary())], ["path", "content"])
 
-    return rows.groupBy(key).applyInArrow(run, "path string, content binary")
+    def run(batches):
+        groups, n = [], 0
+        for batch in batches:
+            for _, more in groupby(batch.to_pylist(), itemgetter(key)):
+                more = list(more)
+                if groups and groups[-1][0][key] == more[0][key]:
+                    groups[-1] += more
+                else:
+                    # All groups but the last are whole.
+                    if n >= ROWS:
+                        yield files(groups)
+                        groups, n = [], 0
+                    groups.append(more)
+                n += len(more)
+        if groups:
+            yield files(groups)
+
+    # By a hash of the key, as in ``xor.xor_blobs``.
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key).mapInArrow(run, "path string, content binary")
 
 
 def snapshot_files(files: DataFrame, pool: str, saved_ns: int) -> DataFrame:
     """Snapshots of pools: ``files`` holds the column ``pool`` and those of the format's table of files."""
 
-    def encode(rows: list[dict]) -> bytes:
+    def state(rows: list[dict]) -> dict:
         name = str(rows[0][pool])
         head = {"pool_id": name, "name": name, "version": "v1", "extent_size_bytes": 4096, "parity_mode": "single", "created_ns": saved_ns}
-        return formats.write_snapshot({"pool": head, "files": sorted(rows, key=lambda r: r["file_id"])}, saved_ns)
+        return {"pool": head, "files": sorted(rows, key=lambda r: r["file_id"])}
+
+    def encode(groups: list[list[dict]]) -> list[bytes]:
+        return formats.write_snapshots([state(rows) for rows in groups], saved_ns)
 
     return _encoded(files, pool, encode)
 
@@ -120,13 +160,15 @@ def snapshot_files(files: DataFrame, pool: str, saved_ns: int) -> DataFrame:
 def journal_files(records: DataFrame, pool: str) -> DataFrame:
     """Journals of pools from records (pool, seq, tx_id, state), in order of ``seq``."""
 
-    def encode(rows: list[dict]) -> bytes:
-        empty = {"ts_ns": 0, "old_generation": 0, "new_generation": 0, "pool_name": str(rows[0][pool]), "logical_path": "", "affected_extent_ids": [], "file": None, "extents": []}
-        return b"".join(formats.write_record(empty | {"tx_id": r["tx_id"], "state": r["state"]}) for r in sorted(rows, key=lambda r: r["seq"]))
+    def encode(groups: list[list[dict]]) -> list[bytes]:
+        empty = {"ts_ns": 0, "old_generation": 0, "new_generation": 0, "logical_path": "", "affected_extent_ids": [], "file": None, "extents": []}
+        rows = [empty | {"pool_name": str(r[pool]), "tx_id": r["tx_id"], "state": r["state"]} for g in groups for r in sorted(g, key=itemgetter("seq"))]
+        written = iter(formats.write_records(rows))
+        return [b"".join(islice(written, len(g))) for g in groups]
 
     return _encoded(records, pool, encode)
 
 
 def progress_files(done: DataFrame, pool: str, updated_ns: int) -> DataFrame:
     """Checkpoints of rebuilds: the extents (pool, extent_id) that are done."""
-    return _encoded(done, pool, lambda rows: formats.write_rebuild_progress(sorted(r["extent_id"] for r in rows), updated_ns))
+    return _encoded(done, pool, lambda groups: [formats.write_rebuild_progress(sorted(r["extent_id"] for r in rows), updated_ns) for rows in groups])

@@ -91,3 +91,35 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bad.bin").write_bytes(formats.write_snapshot(STATE, 1)[:-1])
     issues = {(r.path.rsplit("/", 1)[1], r.severity, r.kind) for r in readers.validate(spark, str(tmp_path)).collect()}
     assert issues == {("bad.bin", "error", "metadata"), ("journal.bin", "warning", "journal")}
+
+
+def test_many_digests_at_once_are_those_of_single_files(monkeypatch):
+    """Snapshots, journals and progress files, sound, torn and damaged: their readers ask for digests that are known."""
+    states = [STATE | {"files": [FILE | {"path": "/" + "x" * k}] * k} for k in range(5)]
+    assert formats.write_snapshots(states, 7) == [formats.write_snapshot(s, 7) for s in states]
+    assert formats.write_records(RECORDS) == [formats.write_record(r) for r in RECORDS]
+    journal = b"".join(formats.write_records(RECORDS))
+    torn, damaged = journal[:-5], journal[:90] + b"?" + journal[91:]
+    files = [*formats.write_snapshots(states, 7), journal, torn, damaged, b"", b"RT", formats.write_rebuild_progress(["a", "b"], 1), formats.write_scrub_progress(True, ["a"], ["g"], 1)]
+    digest = formats.digests_of(files)
+    monkeypatch.setattr(formats, "blake3", lambda part: pytest.fail("one digest alone"))
+    assert [len(formats.read_snapshot(f, digest)["files"]) for f in files[:5]] == [0, 1, 2, 3, 4]
+    assert len(list(formats.read_journal(journal, False, digest))) == len(RECORDS) == len(list(formats.read_journal(torn, True, digest))) + 1
+    with pytest.raises(formats.FormatError):
+        list(formats.read_journal(damaged, True, digest))
+    assert formats.read_rebuild_progress(files[-2], digest)["completed_extents"] == ["a", "b"]
+    assert formats.read_scrub_progress(files[-1], digest)["completed_parity_groups"] == ["g"]
+
+
+def test_files_of_keys_that_span_batches(spark):
+    rows = [(k % 7, k, str(k), "prepared") for k in range(200)] + [(None, 1, "n", "aborted")]
+    records = spark.createDataFrame(rows, "pool long, seq long, tx_id string, state string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)
+    try:
+        made = readers.journal_files(records, "pool").collect()
+        got = readers.journal(spark, readers.journal_files(records, "pool")).select("pool_name", "seq", "tx_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.path for r in made) == [*"0123456", "None"]
+    want = [(str(p), (k - p) // 7, str(k)) for p in range(7) for k in range(200) if k % 7 == p] + [("None", 0, "n")]
+    assert sorted(map(tuple, got)) == sorted(want)
