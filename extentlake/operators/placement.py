@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,18 +52,38 @@ def place_greedily(disks: list[tuple[int, int, int]], wanted: list[tuple[int, in
 def greedy_placement(extents: DataFrame, disks: DataFrame, key: str = "file_id") -> DataFrame:
     """extent_no, disk_id: every file placed against the same free disks. The choice depends on the file's earlier extents,
     so it is a fold per file; files are independent requests. A disk without extents comes before all others and is in no
-    group yet, so a file of n extents uses the first n disks by free bytes and id at most, and no other disk is kept.
+    group yet, so a file of n extents uses the first n disks by free bytes and id at most, and no other disk is kept. Files
+    stream through each partition in order, many to a batch.
     """
     most = extents.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     eligible = disks.where("role = 'data' AND lower(health) = 'online' AND free > 0").select("disk_id", "free")
     ready = [(r.disk_id, 0, r.free) for r in eligible.orderBy(F.desc("free"), "disk_id").limit(most).collect()]
 
-    def fold(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("extent_no", "pg", "length"))))
-        placed = place_greedily(ready[: len(rows)], rows)
-        return pa.table({"extent_no": [e for e, _ in placed], "disk_id": [d for _, d in placed]})
+    def placed(rows: list[tuple]) -> list[tuple[int, int]]:
+        return place_greedily(ready[: len(rows)], [r[1:] for r in rows])
 
-    return extents.select(key, "extent_no", "pg", "length").groupBy(key).applyInArrow(fold, "extent_no long, disk_id long")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for _, more in groupby(zip(*(c.to_pylist() for c in batch.columns)), itemgetter(0)):
+                more = list(more)
+                # The last file of a batch may go on in the next one.
+                if held and held[0][0] != more[0][0]:
+                    out += placed(held)
+                    held = []
+                held += more
+            yield _placed(out)
+        if held:
+            yield _placed(placed(held))
+
+    # By a hash of the key, as in ``xor.xor_blobs``.
+    x = extents.select(F.col(key).alias("key"), F.col("extent_no").cast("long"), "pg", "length").repartition(F.xxhash64("key"))
+    return x.sortWithinPartitions("key", "extent_no", "pg", "length").mapInArrow(fold, "extent_no long, disk_id long")
+
+
+def _placed(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e for e, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.int64())], ["extent_no", "disk_id"])
 
 
 def least_loaded(disks: list[tuple[int, int, int]], lengths: Iterable[int]) -> Iterator[int | None]:

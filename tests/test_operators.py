@@ -331,3 +331,20 @@ def test_reads_of_files_from_a_table_and_from_a_function(spark):
             assert {r.file_id: (r.bytes_read, r.healed_extents, r.error, r.content if r.content is None else bytes(r.content)) for r in got} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_greedy_placement_streams_files_over_batches(spark):
+    """Files of up to 17 extents in batches of 5 rows, without a call for each file."""
+    rnd = random.Random(11)
+    extents = [(file, file * 1000 + n, file * 1000 + n // 3, rnd.randrange(1, 50)) for file in range(30) for n in range(rnd.randrange(1, 18))]
+    x = spark.createDataFrame(rnd.sample(extents, len(extents)), "file_id long, extent_no long, pg long, length long").repartition(3)
+    ready = [(d, 0, 1000 + d % 3) for d in range(9)]
+    d = spark.createDataFrame([(k, "data", "online", free) for k, _, free in ready], "disk_id long, role string, health string, free long")
+    want = [placed for file in range(30) for placed in placement.place_greedily(ready, [e[1:] for e in extents if e[0] == file])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        df = placement.greedy_placement(x, d)
+        assert sorted((r.extent_no, r.disk_id) for r in df.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
