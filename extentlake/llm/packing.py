@@ -10,7 +10,6 @@ once more and packed across blocks.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import Scratch, process_cache, table
+from ._tokens import Tokens
 
 CAPACITY = 4096
 END_ID = 1
@@ -31,8 +31,8 @@ MIN_GENERATIONS = 1
 TRADES = 60
 #: Bins filled less than this share are dissolved and packed across blocks.
 POOR = 0.97
-#: Distinct white-space separated pieces of text whose ids a worker remembers.
-CACHE = 500_000
+#: Characters of texts that are tokenised at once.
+CHARS = 1 << 22
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 
@@ -43,77 +43,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Tokens:
-    """Ids of whole texts. The tokenizer never joins across a space or a line feed, so the runs between them are
-    encoded once each and remembered."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        # Byte-level vocabularies write a byte that doesn't print as the next free character from U+0100 on.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.bytes = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.clear()
-
-    def clear(self):
-        self.index: dict[str, int] = {"": 0}
-        self.first, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, runs: list[str]) -> None:
-        words, rest = [], []
-        for r in runs:
-            low = r.lower()
-            (words if len(low) == len(r) and low.isalpha() and max(low) < "\u0300" else rest).append(r)
-        if words:
-            # Letters only, with nothing to normalise but their case: such a run is one word, and goes to the merges at once.
-            of = self.tokenizer.model.tokenize
-            got = [[t.id for t in of(w.lower().encode().decode("latin-1").translate(self.bytes))] for w in words]
-            self._add(words, np.array([len(g) for g in got]), np.array([i for g in got for i in g], np.uint32))
-        if rest:
-            # One call for all others: the tokens' places in the joined text tell whose they are.
-            got = self.tokenizer.encode(" ".join(rest), add_special_tokens=False)
-            begin = np.cumsum([0, *(len(r) + 1 for r in rest[:-1])])
-            size = np.bincount(np.searchsorted(begin, [a for a, _ in got.offsets], "right") - 1, minlength=len(rest))
-            self._add(rest, size, np.array(got.ids, np.uint32))
-
-    def _gather(self, runs) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes of the runs and all of their ids."""
-        at = np.fromiter(map(self.index.__getitem__, runs), np.int64, len(runs))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        return size, self.ids[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def _join(self, marked: list[str]) -> None:
-        size, flat = self._gather([x for r in marked for x in (r[:-1], r[-1])])
-        size = size[::2] + size[1::2]
-        self._add(marked, size, flat)
-
-    def _add(self, runs: list[str], size: np.ndarray, ids: np.ndarray) -> None:
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, ids])
-        self.index.update(zip(runs, range(len(self.index), len(self.index) + len(runs))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > CACHE:
-            self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        runs = [x for s in split for x in s]
-        if new := set(runs).difference(self.index):
-            # A comma or full stop after a letter is always a token of its own: the word before it is looked up alone.
-            marked = [r for r in new if r[-1] in ",." and "@" < r[-2:-1] < "\u0300" and r[-2].lower().isalpha()]
-            plain = new.difference(marked).union(r[:-1] for r in marked).union(",.").difference(self.index)
-            if plain:
-                self._learn(list(plain))
-            self._join(marked)
-        size, flat = self._gather(runs)
-        ends = np.cumsum(size)
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-
-
 def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document; ``spread`` deals pieces out evenly."""
 
@@ -128,7 +57,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, id_col: st
             row = 0
             while row < len(ids):
                 some, size = [], 0
-                while row + len(some) < len(ids) and size < 1 << 20:
+                while row + len(some) < len(ids) and size < CHARS:
                     some.append(texts[row + len(some)].as_py() or "")
                     size += len(some[-1])
                 out = []

@@ -1,10 +1,11 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from extentlake.llm import packing
+from extentlake.llm import _tokens, packing
 from extentlake.llm.packing import CAPACITY, Island, Tokens, best_fit, lower_bound, pack, tokenizer_path
 
 SCHEMA = "doc_id long, text string, piece string, block int"
@@ -25,6 +26,39 @@ def test_ids_are_those_of_the_tokenizer(tokens):
     assert [g.tolist() for g in tokens.encode(texts[:9])] == want[:9]
 
 
+def test_words_never_seen_cost_no_call_of_the_tokenizer(tokens):
+    """Invented words are most of what tokenising costs: all of them are merged at once."""
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("aBcdeéÜo") for _ in range(rnd.randint(1, 14))) + rnd.choice(["", ",", ".", "###", "'s", "'Re!", "12", "²"]) for _ in range(200)) for _ in range(20)]
+    want = [e.ids for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    alone = Tokens(tokenizer_path())
+    alone.tokenizer = None
+    assert [g.tolist() for g in alone.encode(texts)] == want
+
+
+def test_words_are_split_and_merged_as_by_the_tokenizer(tokens, monkeypatch):
+    monkeypatch.setattr(_tokens, "STEP", 7)
+    monkeypatch.setattr(_tokens, "DISTINCT", 5)
+    rnd = random.Random(6)
+    some = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    texts = [some([chr(c) for c in range(0x300)], 40) for _ in range(300)]
+    texts += [some("aB'sStTreVElLdm\"12 \n.,é²İ<|ñ", 60) for _ in range(300)]
+    texts += [some("thingsandofe", rnd.randint(1, 90)) for _ in range(300)]
+    texts += ["x" * 64 + " " + "y" * 65 + " " + "é" * 32 + " " + "é" * 33 + "'s", "'", "''s 's's a' 'll'l", "a<|startoftext|>b <|endoftext|>", "", " ", "\n", "日" * 30 + " 日"]
+    want = [e.ids for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [g.tolist() for g in tokens.encode(texts)] == want
+    assert tokens.encode([]) == []
+
+
+def test_another_tokenizer_encodes_whole_texts(tokens, tmp_path):
+    spec = json.loads(tokens.tokenizer.to_str())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}+ ?|\p{N}+|[^\p{L}\p{N}]+"
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other, texts = Tokens(str(tmp_path / "other.json")), ["two words, 123", "", "x\ny"]
+    want = [e.ids for e in other.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [g.tolist() for g in other.encode(texts)] == want != [g.tolist() for g in tokens.encode(texts)]
+
+
 def check(rows, docs, tokens):
     by_doc, by_seq = {}, {}
     for r in rows:
