@@ -89,25 +89,33 @@ class Merges:
         self.last = np.array([vocab[names[b] + end] for b in range(256)], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        self.n = np.uint64(max(vocab.values()) + 1)
-        key = np.array([vocab[a] for a, _ in pairs], np.uint64) * self.n + np.array([vocab[b] for _, b in pairs], np.uint64)
+        n = max(vocab.values()) + 1
+        self.kind, width = (np.uint32, 32) if n * n < 1 << 32 else (np.uint64, 64)
+        self.n, self.none = self.kind(n), np.iinfo(self.kind).max
+        key = np.array([vocab[a] for a, _ in pairs], self.kind) * self.n + np.array([vocab[b] for _, b in pairs], self.kind)
         # Hash tables without collisions: each takes the first key of every slot and leaves the others to the next one.
-        self.levels, rank, rng, bits = [], np.arange(len(key), dtype=np.int32), np.random.default_rng(0), 18
+        self.levels, rank, rng = [], np.arange(len(key), dtype=np.int32), np.random.default_rng(0)
         while len(key):
-            odd, shift = np.uint64(int(rng.integers(1 << 62)) * 2 + 1), np.uint64(64 - bits)
+            bits = max(10, len(key).bit_length() + 2)
+            odd, shift = self.kind(int(rng.integers(1 << (width - 2))) * 2 + 1), self.kind(width - bits)
             slot, k = np.unique((key * odd) >> shift, return_index=True)
-            keys, ranks = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.full(1 << bits, NEVER, np.int32)
+            keys, ranks = np.full(1 << bits, self.none, self.kind), np.full(1 << bits, NEVER, np.int32)
             keys[slot], ranks[slot] = key[k], rank[k]
             self.levels.append((odd, shift, keys, ranks))
             key, rank = np.delete(key, k), np.delete(rank, k)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a.astype(np.uint64) * self.n + b.astype(np.uint64)
-        out = np.full(key.shape, NEVER, np.int32)
+        key = (a.astype(self.kind) * self.n + b.astype(self.kind)).ravel()
+        out, todo = np.full(len(key), NEVER, np.int32), slice(None)
         for odd, shift, keys, ranks in self.levels:
             slot = (key * odd) >> shift
-            out = np.where(keys[slot] == key, ranks[slot], out)
-        return out
+            found = keys[slot]
+            hit = found == key
+            out[todo] = np.where(hit, ranks[slot], NEVER)
+            # Only a key whose slot is taken by another one may be in the next table.
+            more = np.flatnonzero(~hit & (found != self.none))
+            todo, key = more if isinstance(todo, slice) else todo[more], key[more]
+        return out.reshape(a.shape)
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word its first place in the ids, its number of ids; and the ids. No word is empty or longer than LONG.

@@ -25,10 +25,15 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK_ITEMS = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITES = 3, 3, 4, 12, 2
+#: Islands that a task evolves one after the other.
+ISLANDS_A_TASK = 4
 #: Generations that an island runs even if it has reached the bound.
 MIN_GENERATIONS = 1
 #: Bins that a new individual tries to fill better by trading items with those to be placed.
 TRADES = 60
+#: Displaced items that are tried for a bin, and their pairs.
+TRADED = 24
+PAIRS = np.tril_indices(TRADED, -1)
 #: Bins filled less than this share are dissolved and packed across blocks.
 POOR = 0.97
 #: Characters of texts that are tokenised at once.
@@ -131,13 +136,13 @@ class Island:
     def rebuild(self, keep: list[int], parent: Packing, extra: list[list[int]] = ()) -> Packing:
         """``extra`` bins whole, then the parent's bins of ``keep`` that share no item with them; the rest by best fit."""
         bins = [list(b) for b in extra]
+        fill = [sum([self.size[i] for i in b]) for b in bins]
         used = {i for b in bins for i in b}
-        for k in keep:
-            if used.isdisjoint(parent.bins[k]):
-                bins.append(list(parent.bins[k]))
-        used = {i for b in bins for i in b}
+        keep = [k for k in keep if used.isdisjoint(parent.bins[k])]
+        bins += [list(parent.bins[k]) for k in keep]
+        fill += [parent.fill[k] for k in keep]
+        used.update(i for k in keep for i in parent.bins[k])
         left = [i for i in range(len(self.size)) if i not in used]
-        fill = [sum(self.size[i] for i in b) for b in bins]
         self.trade(left, bins, fill)
         return self.build(sorted(left, key=lambda i: -self.size[i]), bins, fill)
 
@@ -151,15 +156,17 @@ class Island:
                 continue
             own = bins[b]
             out = [(i,) for i in own] + [(i, j) for x, i in enumerate(own) for j in own[:x]][:40]
-            some = left if len(left) <= 24 else [left[k] for k in self.rng.permutation(len(left))[:24]]
-            into = [(i,) for i in some] + [(i, j) for x, i in enumerate(some) for j in some[:x]]
-            gains = np.array([sum(size[i] for i in t) for t in into])
+            some = left if len(left) <= TRADED else [left[k] for k in self.rng.permutation(len(left))[:TRADED]]
+            one = np.array([size[i] for i in some])
+            x, y = PAIRS[0][: len(some) * (len(some) - 1) // 2], PAIRS[1][: len(some) * (len(some) - 1) // 2]
+            gains = np.concatenate([one, one[x] + one[y]])
             order = np.argsort(gains, kind="stable")
-            for t in out:
-                s = sum(size[i] for i in t)
-                k = int(np.searchsorted(gains[order], s + room, "right")) - 1
-                if k >= 0 and (gain := int(gains[order[k]]) - s) > 0 and (best is None or gain > best[0]):
-                    best = gain, t, into[order[k]]
+            gains = gains[order]
+            lost = [sum([size[i] for i in t]) for t in out]
+            for t, s, k in zip(out, lost, (np.searchsorted(gains, np.array(lost) + room, "right") - 1).tolist()):
+                if k >= 0 and (gain := int(gains[k]) - s) > 0 and (best is None or gain > best[0]):
+                    k = int(order[k]) - len(some)
+                    best = gain, t, (some[k],) if k < 0 else (some[x[k]], some[y[k]])
                     if gain == room:
                         break
             if best:
@@ -232,7 +239,7 @@ def pack_blocks(scratch: Scratch, items: DataFrame, n: int, capacity: int, tag:
     state = items.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", F.col("length").cast("int").alias("length")))).getField("length").alias("sizes"))
     state = state.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", F.array().cast("array<array<int>>").alias("packings"), F.lit(None).cast("int").alias("best_fit"))
     schema = "block long, island int, sizes array<int>, bins int, done boolean, packings array<array<int>>, best_fit int"
-    parts = max(blocks * ISLANDS, 1)
+    parts = -(-blocks * ISLANDS // ISLANDS_A_TASK)
     for epoch in range(EPOCHS):
         if epoch:
             # Elites stay and also move on to the next island of the ring; blocks with an island that can't improve are done.
