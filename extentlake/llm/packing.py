@@ -249,7 +249,8 @@ def pack_blocks(scratch: Scratch, items: DataFrame, n: int, capacity: int, tag:
             moved = stayed.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "sizes", "packings", F.lit(None).cast("int").alias("best_fit"))
             rest = state.where("done").select(*[f.split()[0] for f in schema.split(", ")])
             state = stayed.unionByName(moved).groupBy("block", "island").agg(F.first("sizes").alias("sizes"), F.flatten(F.collect_list("packings")).alias("packings"), F.max("best_fit").alias("best_fit"))
-        state = state.repartition(min(parts, 4 * int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))), "block", "island")
+        # By a hash: with as many partitions as the aggregation above has, Spark would drop this step and join small partitions.
+        state = state.repartition(min(parts, 4 * int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("block", "island"))
         state = state.mapInArrow(lambda b, seed=epoch: _islands(b, capacity, seed), schema)
         if epoch:
             state = state.unionByName(rest)
