@@ -19,7 +19,7 @@ _FRAME = ">BBI"
 def with_length(blob: Column, n: Column) -> Column:
     """Cut or zero-padded to n bytes (a negative n counts as 0)."""
     n = F.greatest(n, F.lit(0)).cast("int")
-    return F.when(n == 0, F.lit(b"")).otherwise(F.rpad(F.substr(blob, F.lit(1), n), n, F.lit(b"\0")))
+    return F.when(F.octet_length(blob) == n, blob).when(n == 0, F.lit(b"")).otherwise(F.rpad(F.substr(blob, F.lit(1), n), n, F.lit(b"\0")))
 
 
 def slice_of(blob: Column, offset: Column, n: Column) -> Column:
