@@ -406,3 +406,37 @@ def test_files_are_assembled_alike_in_java_and_python(spark, rows_in):
     got = sorted((r.file_id, r.error or "", r.bytes_read, r.healed_extents, None if r.content is None else bytes(r.content)) for r in got.collect())
     whole = (1, "", 3, "", b"abc")
     assert got == [whole, whole, (1, "I13", None, None, None), (2, "lost extent", None, None, None), (3, "", 3, "20", b"yzz"), (4, "I13", None, None, None), (7, "", 0, "", b"")]
+
+
+def test_sums_of_blobs_in_java_and_python(spark, rows_in):
+    """Unequal lengths, empty and null blobs; a group of nothing but nulls has no sum. Runs go on over batches."""
+    rnd = random.Random(11)
+    rows = [(k, None if rnd.random() < 0.1 else rnd.randbytes(rnd.choice((0, 1, 7, 8, 9, 300)))) for k in range(90) for _ in range(rnd.randrange(1, 6))]
+    rows += [(100, None), (100, None), (101, b""), (102, None), (102, b"x")]
+    parts = {k: [c for j, c in rows if j == k and c is not None] for k, _ in rows}
+    want = {k: xor.xor_bytes(p) for k, p in parts.items() if p}
+    assert 100 not in want and want[101] == b""
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "pg long, content binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for arrow in (False, True):
+            got = xor.xor_blobs(df, arrow=arrow).collect()
+            assert len(got) == len(want) and {r.pg: bytes(r.parity) for r in got} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_only_peers_of_lost_extents_are_read_again(spark):
+    """Spark must not ask for contents in front of the join that picks the groups."""
+    from extentlake.operators import blobs_io
+
+    judged = spark.range(900).selectExpr("id AS extent_no", "id div 3 AS pg", "64L AS length", "id % 90 <> 0 AS sound")
+    some = judged.where("NOT sound").select("pg").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        peers = blobs_io.sound_blobs(judged.join(some, "pg", "left_semi"), lambda rows: rows.withColumn("content", F.sha2(F.col("extent_no").cast("string"), 256).cast("binary")))
+        plan = xor.xor_blobs(peers)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("sha2") < plan.index("Join LeftSemi") and "sha2" not in plan[plan.index("Join LeftSemi") :]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
